@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tianguis.llm import minhash
+from tianguis.llm import exact_dedup, minhash, mixing
 
 
 def queries() -> dict:
-    return {"op4_minhash_near_dedup": minhash.op4_minhash_near_dedup}
+    return {
+        "op2_mix_sources": mixing.op2_mix_sources,
+        "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
+        "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_exact_dedup": exact_dedup.ORACLE}
