@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tianguis.llm import exact_dedup, minhash, mixing
+from tianguis.llm import bpe, exact_dedup, minhash, mixing
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op3_bpe": bpe.op3_bpe,
         "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
