@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tianguis.llm import bpe, exact_dedup, langid, minhash, mixing
+from tianguis.llm import bpe, chat, exact_dedup, langid, minhash, mixing
 
 
 def queries() -> dict:
@@ -12,8 +12,9 @@ def queries() -> dict:
         "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
         "op7_language_id": langid.op7_language_id,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_chat_format": chat.op10_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op9_exact_dedup": exact_dedup.ORACLE, "op10_chat_format": chat.ORACLE}
