@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tianguis.llm import bpe, chat, exact_dedup, langid, minhash, mixing
+from tianguis.llm import bpe, chat, embedding_dedup, exact_dedup, langid, minhash, mixing
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_bpe": bpe.op3_bpe,
         "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
+        "op5_embedding_near_dedup": embedding_dedup.op5_embedding_near_dedup,
         "op7_language_id": langid.op7_language_id,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_chat_format": chat.op10_chat_format,
