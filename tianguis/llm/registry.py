@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tianguis.llm import bpe, chat, embedding_dedup, exact_dedup, langid, minhash, mixing, toxicity
+from tianguis.llm import bpe, chat, embedding_dedup, exact_dedup, langid, line_dedup, minhash, mixing, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_embedding_near_dedup": embedding_dedup.op5_embedding_near_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_language_id": langid.op7_language_id,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_chat_format": chat.op10_chat_format,
     }
