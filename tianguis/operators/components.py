@@ -14,11 +14,17 @@ def durable(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset
     (tests, notebooks) is a folder of this machine taken instead.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors can reach; set here only where it is unset."""
+    sc = spark.sparkContext
+    set_to = sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        set_to = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="tianguis-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return (set_to or sc.getCheckpointDir()).rstrip("/")
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -74,6 +80,3 @@ def connected_components(
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
-
-def session_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
