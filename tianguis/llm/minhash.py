@@ -259,5 +259,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def keep_one_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """``docs`` without the rows that are not kept, with all its columns. Of rows with one id, all share its fate."""
+    found = near_duplicates(docs, id_col, text_col, percent)
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
