@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tianguis.llm import bpe, chat, embedding_dedup, exact_dedup, langid, line_dedup, minhash, mixing, toxicity
+from tianguis.llm import bpe, chat, embedding_dedup, exact_dedup, langid, line_dedup, minhash, mixing, pii, toxicity
 
 
 def queries() -> dict:
     return {
         "pipeline": corpus_pipeline.run,
+        "op1_pii": pii.op1_pii,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_bpe": bpe.op3_bpe,
         "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
