@@ -22,7 +22,7 @@ from tianguis.llm.tables import table
 DIM = 4096
 ORDERS = (1, 2, 3)
 #: Rows that a model is fitted on, at most, over all languages.
-SAMPLE = 2000
+SAMPLE = 1000
 CENTROIDS = 3
 #: Characters that are turned into n-grams at once.
 PIECE = 1 << 20
@@ -74,7 +74,7 @@ class Model:
     radius: float
 
     def vectors(self, raw: np.ndarray) -> np.ndarray:
-        v = np.log1p(raw) * self.idf
+        v = np.log1p(raw, dtype=np.float32) * self.idf
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def nearest(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,11 +95,11 @@ def _clusters(v: np.ndarray, k: int) -> np.ndarray:
     return centre
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
-    """From (language, counts of a text, counts of one of its words) of the sample."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes()))
-    raw = np.array([r[1] for r in rows]).reshape(len(rows), DIM)
-    idf = np.log((1 + len(rows)) / (1 + (raw > 0).sum(axis=0))).astype(np.float32) + 1
+def fit(rows: list[tuple[str, bytes, str]]) -> Model:
+    """From (language, counts of a text as 16-bit numbers, one of its words) of the sample."""
+    rows = sorted(rows)
+    raw = np.frombuffer(b"".join(r[1] for r in rows), np.uint16).reshape(len(rows), DIM)
+    idf = (np.log((1 + len(rows)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
     model = Model(idf, np.empty((0, DIM), np.float32), [], 0.0)
     v = model.vectors(raw)
     names = np.array([r[0] for r in rows])
@@ -108,8 +108,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
         model.centroids = np.vstack([model.centroids, centre.astype(np.float32)])
         model.langs += [lang] * len(centre)
     if rows:
-        _, cosine = model.nearest(np.array([r[2] for r in rows]))
-        model.radius = float(0.5 * cosine.min())
+        model.radius = 0.5 * min(float(model.nearest(counts(word)[None, :])[1][0]) for _, _, word in rows)
     return model
 
 
@@ -118,7 +117,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [x.as_py() for x in batch.column(1)]
         words = [min(t.split(), key=lambda w: (not w.isalpha(), len(w), w)) for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([counts(t).tobytes() for t in texts], pa.binary()), pa.array([counts(w).tobytes() for w in words], pa.binary())],
+            [batch.column(0), pa.array([np.minimum(counts(t), 65535).astype(np.uint16).tobytes() for t in texts], pa.binary()), pa.array(words, pa.string())],
             names=["lang", "whole", "word"],
         )
 
@@ -133,8 +132,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     each = max(1, sample // len(size))
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, each / n))) for k, n in size.items()])
     drawn = rows.where(F.shiftrightunsigned(F.xxhash64("id", F.lit("langid")), 11).cast("double") / float(1 << 53) < share)
-    got = drawn.select("lang", "text").mapInArrow(_sampled, "lang string, whole binary, word binary").limit(2 * sample).collect()
-    return fit([(r["lang"], np.frombuffer(r["whole"], np.float32), np.frombuffer(r["word"], np.float32)) for r in got])
+    got = drawn.select("lang", "text").mapInArrow(_sampled, "lang string, whole binary, word string").limit(2 * sample).collect()
+    return fit([(r["lang"], bytes(r["whole"]), r["word"]) for r in got])
 
 
 def _predicted(shared):
