@@ -5,9 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def round_exact(v: pd.Series, digits: pd.Series) -> pd.Series:
     """Half-even on the exact binary value. For the few rows of a result; never in a scan."""
     return pd.Series([None if pd.isna(x) else round(float(x), int(d)) for x, d in zip(v, digits)], dtype="float64")
