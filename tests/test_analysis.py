@@ -72,7 +72,9 @@ def test_outliers_are_marked_and_kept(run):
 def test_confidence(spark, run):
     high = run(base(12))
     assert (one(high).confidence, one(high).confidence_score) == ("HIGH", 5)
-    assert one(run(base(3))).confidence == "LOW"
+    assert [f.delta for f in one(high).confidence_factors] == [2, 1, 1, 1, None] and sum(f.delta or 0 for f in one(high).confidence_factors) == 5
+    low = one(run(base(3)))
+    assert low.confidence == "LOW" and "confianza forzada" in low.confidence_factors[0].factor and any("Histórico insuficiente" in x for x in low.limitations)
     failed = spark.createDataFrame([("s3", "error", "timeout", None)], "source_id string, status string, error string, source_ids_returned array<string>").withColumn("source_name", F.lit(None).cast("string"))
     a = run(base(12), source_status=failed)
     assert one(a).confidence != "HIGH" and codes(a)["FUENTE_FALLIDA"] == 1

@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LINKS_A_TASK = 100_000
+
 
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
@@ -58,19 +60,21 @@ def connected_components(
     for _ in range(max_rounds):
         if state[0] == 0:
             break
-        both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        nearest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # links only get fewer; a small rest goes through few tasks and files
+        few = max(1, -(-state[0] // LINKS_A_TASK))
+        both = current.coalesce(few).select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        nearest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(few)
         large = (
             both.join(nearest, "u").where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(few)
         )
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        smallest = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(few)
         small = (
             large.join(smallest, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct()
         )
-        following = durable(small)
+        following = durable(small.coalesce(few))
         now = _state(following)
         current, before, state = following, state, now
         if now == before:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tianguis.config import MarketConfig
+from tianguis.functions.numbers import percent_label
 
 
 def signal_types(cfg: MarketConfig) -> Column:
@@ -56,6 +57,29 @@ def confidence_score(n: Column, sources: Column, strong_share: Column, outlier_s
     )
 
 
+def confidence_factors(n: Column, sources: Column, strong_share: Column, outlier_share: Column, freshness: Column, failed: Column, geo: Column, between: Column, score: Column) -> Column:
+    """Why a row has its points: an array of (delta, factor), the sum last."""
+    def factor(when, delta, *text):
+        parts = [t if isinstance(t, Column) else F.lit(t) for t in text]
+        return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(delta).cast("int").alias("delta"), F.concat(*parts).alias("factor")))
+
+    count, many, strong = n.cast("string"), sources.cast("string"), percent_label(strong_share)
+    return F.array_compact(
+        F.array(
+            factor(n >= 10, 2, "muestra de precios suficiente (n=", count, ")"), factor((n >= 5) & (n < 10), 1, "muestra de precios moderada (n=", count, ")"),
+            factor(n < 5, 0, "muestra de precios pequeña (n=", count, " < 5): confianza forzada a LOW"),
+            factor(sources >= 2, 1, many, " fuentes distintas"), factor(sources < 2, 0, many, " fuente(s)"),
+            factor(strong_share >= 0.8, 1, "coincidencia de producto fuerte (", strong, " EXACT/HIGH)"), factor(strong_share < 0.5, -1, "coincidencia de producto mayoritariamente ambigua (", strong, " EXACT/HIGH)"),
+            factor((strong_share >= 0.5) & (strong_share < 0.8), 0, "coincidencia de producto mixta (", strong, " EXACT/HIGH)"),
+            factor(outlier_share > 0.2, -1, "proporción alta de outliers (", percent_label(outlier_share), ")"),
+            factor(freshness == "ACTUAL", 1, "datos actuales"), factor(freshness == "ANTIGUA", 0, "datos antiguos: confianza forzada a LOW"),
+            factor(freshness.isin("ENVEJECIDA", "SIN_DATOS"), 0, "actualidad de datos: ", freshness),
+            factor(failed > 0, -1, failed.cast("string"), " fuente(s) fallida(s)"), factor(geo, -1, "diferencias geográficas importantes"), factor(between, -1, "inconsistencia de precios entre fuentes"),
+            factor(F.lit(True), None, "puntuación ", score.cast("string"), "; HIGH >= 5 sin fuentes fallidas, MEDIUM >= 3"),
+        )
+    )
+
+
 def confidence_level(score: Column, n: Column, freshness: Column, failed: Column) -> Column:
     low = (F.coalesce(n, F.lit(0)) < 5) | F.coalesce(freshness == "ANTIGUA", F.lit(False))
     return F.when(low, "LOW").when((score >= 5) & (failed == 0), "HIGH").when(score >= 3, "MEDIUM").otherwise("LOW")

@@ -294,8 +294,15 @@ def analyze(
     age = (F.unix_micros(now) - F.unix_micros("captured_at_max")) / 86400e6
     wide = wide.withColumns({"age_days": age, "freshness": signals.freshness_status(age, cfg.fresh_days, cfg.stale_days)})
     valid, geo, between = F.nullif("valid_price_observation_count", F.lit(0)), F.coalesce(F.col("geo_gap_pct") >= cfg.geo_difference_pct, F.lit(False)), F.coalesce(F.col("source_gap_pct") >= cfg.source_difference_pct, F.lit(False))
-    score = signals.confidence_score(F.col("n"), F.col("source_count"), F.col("strong") / valid, F.col("odd") / valid, F.col("freshness"), F.col("failed_sources"), geo, between)
-    wide = wide.withColumns({"geo_difference": geo, "source_difference": between, "confidence_score": score, "signals": signals.signal_types(cfg)})
+    judged = (F.col("n"), F.col("source_count"), F.col("strong") / valid, F.col("odd") / valid, F.col("freshness"), F.col("failed_sources"), geo, between)
+    score = signals.confidence_score(*judged)
+    wide = wide.withColumns({"geo_difference": geo, "source_difference": between, "confidence_score": score, "confidence_factors": signals.confidence_factors(*judged, score), "signals": signals.signal_types(cfg)})
+    money = prices.groupBy("target_id").agg(F.array_sort(F.collect_list("currency_norm")).alias("currencies"))
+    seen = periods.groupBy("target_id").agg(F.count("*").alias("period_count"), F.max_by("complete", "period").alias("last_complete"))
+    gone = converted.where("status = 'DATO_NO_DISPONIBLE'").groupBy("target_id").agg(F.array_sort(F.collect_list("currency_norm")).alias("unconverted")) if "status" in converted.columns else prices.select("target_id", F.array().cast("array<string>").alias("unconverted")).where("false")
+    for part in (money, seen, gone, prepared.select("target_id", known(F.col("t_presentation")).alias("sized"))):
+        wide = wide.join(part, T, "left")
+    wide = wide.withColumn("limitations", limitations(cfg, convert_to, reference_cost)).drop("period_count", "last_complete", "unconverted", "sized")
     wide = wide.withColumns(
         {
             "confidence": signals.confidence_level(F.col("confidence_score"), F.col("n"), F.col("freshness"), F.col("failed_sources")),
@@ -338,6 +345,31 @@ def trace(a: Analysis) -> DataFrame:
     )
 
 
+def limitations(cfg: MarketConfig, convert_to: str | None, reference_cost: tuple[float, str] | None) -> Column:
+    """What a reader of the figures has to bear in mind, in a fixed order."""
+    def note(when, *text):
+        return F.when(F.coalesce(when, F.lit(False)), F.concat(*[t if isinstance(t, Column) else F.lit(t) for t in text]))
+
+    periods, none = F.coalesce("period_count", F.lit(0)), F.array().cast("array<string>")
+    missing = F.transform(F.coalesce("unconverted", none), lambda c: F.concat(F.lit("No hay tipo de cambio autorizado "), c, F.lit(f"->{(convert_to or '').upper()}; no se convierte.")))
+    cost = F.lit(False) if reference_cost is None else F.col("price_median").isNotNull() & (F.col("primary_currency") != reference_cost[1].upper())
+    return F.concat(
+        F.array_compact(F.array(
+            note(~F.col("sized"), "El producto objetivo no especifica presentación: los precios por anuncio pueden mezclar formatos; se prioriza el precio por unidad estándar."),
+            note(F.size("currencies") > 1, "Precios observados en varias monedas (", F.array_join("currencies", ", "), "); se presentan como mercados monetarios separados."),
+        )),
+        missing,
+        F.array_compact(F.array(
+            note(~F.col("last_complete"), "El último periodo está incompleto; se excluye de las tendencias de anuncios y vendedores."),
+            note(periods < cfg.min_trend_periods, "Histórico insuficiente para tendencias (", periods.cast("string"), f" periodo(s); se requieren {cfg.min_trend_periods})."),
+            note(F.col("n") == 0, "No hay observaciones de precio válidas para el producto en el periodo analizado."),
+            F.lit("La muestra representa únicamente el mercado observable en las fuentes consultadas, no la totalidad del mercado."),
+            F.lit("No se dispone de datos de ventas reales: oferta y número de anuncios son proxies, no ventas."),
+            note(cost, "El coste de referencia está en otra moneda que la mediana de mercado; no se simula margen."),
+        )),
+    )
+
+
 def inspect(a: Analysis, target_id: str, status: str | None = None, match_level: str | None = None, only_outliers: bool = False, limit: int = 20) -> DataFrame:
     """A few traced records of a target, 1 to 50."""
     rows = trace(a).where(F.col("target_id") == target_id)

