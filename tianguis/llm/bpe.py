@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from tianguis.llm.tables import table
 
 #: Distinct words and pairs that a worker keeps between batches.
-KEPT = 600_000
+KEPT = 250_000
 _PATTERN = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # ASCII and the Latin letters below U+0180 are their own composed form, lower-case alike
 # everywhere and have plain classes, so the split pattern can be spelled out for them. Any
@@ -272,7 +272,7 @@ def _encoded(vocabulary, digests: bool):
             at = 0
             while at < len(keys):
                 begin, held, some = at, 0, []
-                while at < len(keys) and held < 1_000_000:  # characters
+                while at < len(keys) and held < 500_000:  # characters
                     some.append(texts[at].as_py() or "")
                     held += len(some[-1])
                     at += 1
@@ -283,6 +283,7 @@ def _encoded(vocabulary, digests: bool):
                     b.append(hashlib.sha256(decoded).hexdigest() if digests else decoded.decode())
                 kind = pa.string() if digests else pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays([keys[begin:at], pa.array(counts, pa.int64()), pa.array(a, kind), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "a", "b"])
+        codec.tables()  # the worker may live on without encoding again
 
     return run
 

@@ -83,7 +83,7 @@ def _sketched(rows: int, width: int):
             at = 0
             while at < len(ids):
                 sets, held, begin = [], 0, at
-                while at < len(ids) and held < 1_000_000:
+                while at < len(ids) and held < 500_000:
                     sets.append(shingle_set(texts[at].as_py(), width))
                     held += len(sets[-1])
                     at += 1
