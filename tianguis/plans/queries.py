@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tianguis.config import MarketConfig
-from tianguis.functions.text import looks_like_instructions, normalize_text, normalize_url
+from tianguis.functions.text import bind, looks_like_instructions, normalize_text, normalize_url
 from tianguis.functions.units import size_quantity, size_unit, unit_factor
 from tianguis.operators import dedup, matching, rates, signals, stats, temporal
 from tianguis.plans.listings import LISTINGS_SQL, listings, table
@@ -96,8 +96,11 @@ def ratio_outliers_small_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT currency, price / (CAST(regexp_extract(title, '([0-9]+) ml$', 1) AS DOUBLE) * 0.001) AS price FROM listings
 ) SELECT currency, {COARSE_SQL} FROM u GROUP BY currency""")
 def unit_price_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    norm = normalize_text(F.col("title"))
-    priced = listings(spark, sf_dir).withColumn("price", F.col("price") / (size_quantity(norm) * unit_factor(size_unit(norm))))
+    # a part's title is read once and not for every line of it
+    title = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" ml"))
+    sized = bind(normalize_text(title), lambda t: F.struct(size_quantity(t).alias("q"), size_unit(t).alias("u")))
+    measures = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), bind(sized, lambda s: s["q"] * unit_factor(s["u"])).alias("measure"))
+    priced = listings(spark, sf_dir).join(measures, "l_partkey").withColumn("price", F.col("price") / F.col("measure"))
     return _r(stats.price_summary(priced, ["currency"]), *SUMMARY, places=4)
 
 
