@@ -210,6 +210,15 @@ def test_line_classes_equal_brute_force(spark, empty, monkeypatch, small):
     assert line_dedup.line_classes(empty).count() == 0
 
 
+def test_every_character_of_a_line_counts(spark, tmp_path):
+    texts = ["https://example.com/a", "https://news.invalid/other", "春眠不覚暁処処聞啼鳥夜来風雨声", "春眠不覚暁処処聞百花斉放万物生", "Order 1234567890123", "Order 1234567899999", "abc", "abd"]
+    texts.append(texts[0])
+    spark.createDataFrame([(i, t, "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.kept for r in line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()} == {i: i < 8 for i in range(9)}
+    assert {r.doc_id for r in line_dedup.drop_repeated_lines(spark, docs, "").collect()} == set(range(8))
+
+
 def test_line_stage(spark, docs, empty):
     out = line_dedup.drop_repeated_lines(spark, docs, "").collect()
     got = {r.doc_id: r for r in out}
