@@ -219,6 +219,22 @@ def test_every_character_of_a_line_counts(spark, tmp_path):
     assert {r.doc_id for r in line_dedup.drop_repeated_lines(spark, docs, "").collect()} == set(range(8))
 
 
+def character_sets(line):
+    return frozenset(line[i : i + 5] for i in range(max(1, len(line) - 4)))
+
+
+@pytest.mark.parametrize("small", [64, 3])
+def test_line_classes_of_all_shingles_equal_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    r = random.Random(5)
+    base = [prose(30, 70 + s) for s in range(8)]
+    lines = sorted({edited(base[r.randrange(8)], r.randrange(0, 5), k) if r.random() < 0.7 else prose(20, 7000 + k) for k in range(240)})
+    got = {x.doc_id: x.class_id for x in line_dedup.line_classes(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4), width=line_dedup.WIDTH).collect()}
+    sets = [character_sets(line) for line in lines]
+    want = components(range(len(lines)), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    assert len({(got[i], want[i]) for i in want}) == len(set(got.values())) == len(set(want.values()))
+
+
 def test_line_stage(spark, docs, empty):
     out = line_dedup.drop_repeated_lines(spark, docs, "").collect()
     got = {r.doc_id: r for r in out}
