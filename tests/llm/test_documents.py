@@ -223,6 +223,27 @@ def character_sets(line):
     return frozenset(line[i : i + 5] for i in range(max(1, len(line) - 4)))
 
 
+def isolated_pairs(n):
+    """Pairs of lines that are like nothing else, between 0.8 and 0.86 on all their 5-character shingles."""
+    r, out = random.Random(33), []
+    while len(out) < n:
+        a = "".join(chr(r.randrange(0x4E00, 0x9000)) if r.random() < 0.9 else " " for _ in range(r.choice([14, 30, 90])))
+        b = list(a)
+        for _ in range(r.randrange(1, 3)):
+            b[r.randrange(len(b))] = chr(r.randrange(0x4E00, 0x9000))
+        x, y = character_sets(a), character_sets(b := a[: r.randrange(len(a))] + a if r.random() < 0.2 else "".join(b)[: len(a) - r.randrange(3)])
+        if a != b and 80 <= 100 * len(x & y) / len(x | y) < 86 and "" not in (a.strip(), b.strip()):
+            out.append((a, b))
+    return out
+
+
+def test_isolated_pairs_at_the_threshold_are_found(spark):
+    pairs = isolated_pairs(1000)
+    df = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id long, text string").repartition(4)
+    kept = {r.doc_id: r.kept for r in line_dedup.line_classes(df, width=line_dedup.WIDTH).collect()}
+    assert all(kept[2 * i] for i in range(1000)) and sum(kept[2 * i + 1] for i in range(1000)) <= 2
+
+
 @pytest.mark.parametrize("small", [64, 3])
 def test_line_classes_of_all_shingles_equal_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(line_dedup, "SMALL", small)
