@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -147,6 +148,19 @@ def test_phases_use_up_all_blocks():
     assert sum(p["length"] for p in got) == 1053 and {s: sum(p["taken"].get(s, 0) for p in got) for s in blocks} == blocks
 
 
+def test_no_source_is_a_block_from_its_weight_over_a_long_phase():
+    weights = {f"s{k}": 5000**0.5 for k in range(19)} | {"big": 50000**0.5}
+    (phase, *_), total, seen = mixing.phases({s: 3000 for s in weights}, weights), sum(map(Fraction, weights.values())), Counter()
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    assert phase["length"] > 20_000
+    for slot, (s, k, release, deadline) in enumerate(phase["plan"], 1):
+        seen[s] += 1
+        assert release < slot <= deadline and abs(seen[s] - share[s] * slot) < 1
+        assert slot % 500 or all(abs(seen[x] - share[x] * slot) < 1 for x in weights)
+    (phase, *_), seen = mixing.phases({"a": 5000, "b": 9}, {"a": 9999, "b": 1}), Counter()
+    assert phase["taken"] == {"a": 5000} or phase["taken"]["b"] == 1
+
+
 def test_mixture_order_keeps_rows_and_columns(spark, docs):
     twice = docs.union(docs.where("doc_id < 3"))
     out = mixing.in_mixture_order(twice)
