@@ -345,6 +345,20 @@ def test_language_id(spark, empty):
     assert langid.counts("ab " * 700_000).sum() > 0 and langid.identify(empty, langid.fit([])).count() == 0
 
 
+def test_texts_in_scripts_and_languages_not_learned_are_rejected(spark):
+    r = random.Random(6)
+    make = {"aa": "lo mi ker tan".split(), "bb": "schw ung zer gho".split(), "cc": "qua plie oux ent".split()}
+    rows = [(3 * i + k, " ".join(r.choice(make[lang]) + r.choice(make[lang]) for _ in range(1 + i % 40)), lang) for i in range(100) for k, lang in enumerate(make)]
+    rows += [(900, "SS", "aa"), (901, "x", "bb"), (903, "oux", "cc")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = []
+    for a in ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x4E00, 0x5E00))), "abcdefghijklmnopqrstuvwxyz"):
+        odd += [" ".join("".join(r.choice(a) for _ in range(r.randrange(2, 9))) for _ in range(n)) for n in (8, 300, 5000)]
+    got = langid.identify(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).collect()
+    assert len(got) == 12 and all(x.rejected for x in got)
+    assert not any(x.rejected for x in langid.identify(spark.createDataFrame(rows[:300], "doc_id long, text string, lang string"), model).collect())
+
+
 def test_toxicity_grades(spark, empty):
     r = random.Random(8)
     bad = ["grunkel", "grunkeln", "snarf", "snarfig"]

@@ -2,8 +2,11 @@
 
 Training rows are a bounded sample of labelled rows, drawn evenly over the languages by a
 hash of the id. Each language gets several centroids (spherical k-means). A text takes the
-language of the centroid with the largest cosine, and is rejected when that cosine is below
-the radius, which is set so that even single words of training texts fall inside it.
+language of the centroid with the largest cosine. It is rejected when that cosine is below the
+centroid's radius, a part of a low quantile of the cosines of its training texts, with slack
+for short texts; or when too many of its trigrams are in no training text, since a long text
+of any language comes near to all centroids in few buckets. How many may be unknown follows
+from the training texts, each held against the others, again with slack for short ones.
 """
 
 from __future__ import annotations
@@ -24,13 +27,18 @@ ORDERS = (1, 2, 3)
 #: Rows that a model is fitted on, at most, over all languages.
 SAMPLE = 1000
 CENTROIDS = 3
+#: Bits of the hash by which the trigrams of training texts are known.
+KNOWN_BITS = 20
+#: Texts that the limits leave out at most, as a share, before they are widened.
+LOW = 0.01
+#: Trigrams of a text that halve the least cosine; the share of unknown ones that no text may exceed.
+SLACK, MOST_UNKNOWN = 64, 0.9
 #: Characters that are turned into n-grams at once.
 PIECE = 1 << 20
 
 
-def counts(text: str) -> np.ndarray:
-    """Hashed counts of the n-grams of a lower-cased text; digits, marks and white space are one space."""
-    out = np.zeros(DIM, dtype=np.float32)
+def _hashes(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, hashes) of the n-grams of a lower-cased text, in pieces; digits, marks and white space are one space."""
     for begin in range(0, max(1, len(text)), PIECE):
         # pieces overlap by what the longest n-gram needs
         part = text[max(0, begin - max(ORDERS) + 1) : begin + PIECE].lower()
@@ -47,8 +55,22 @@ def counts(text: str) -> np.ndarray:
                 h = np.full(len(code) - n + 1, np.uint64(n))
                 for k in range(n):
                     h = h * np.uint64(0x110000) + code[k : len(code) - n + 1 + k]
-                out += np.bincount((mix(h) >> np.uint64(52)).astype(np.int64), minlength=DIM)
-    return out
+                yield n, mix(h)
+
+
+def read(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed counts of the n-grams of a text, and its longest n-grams one by one as KNOWN_BITS-bit hashes."""
+    out, longest = np.zeros(DIM, dtype=np.float32), [np.empty(0, np.int64)]
+    for n, h in _hashes(text):
+        out += np.bincount((h >> np.uint64(52)).astype(np.int64), minlength=DIM)
+        if n == max(ORDERS):
+            longest.append((h >> np.uint64(64 - KNOWN_BITS)).astype(np.int64))
+    return out, np.concatenate(longest)
+
+
+def counts(text: str) -> np.ndarray:
+    """Hashed counts of the n-grams of a text."""
+    return read(text)[0]
 
 
 _LETTER = np.zeros(0x110000, dtype=bool)
@@ -66,12 +88,20 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class Model:
-    """Unit centroids as rows, each with its language; idf weights; the least cosine that counts."""
+    """Unit centroids as rows, each with its language and the least cosine that counts; idf weights; known trigrams and how large a share may be unknown."""
 
     idf: np.ndarray
     centroids: np.ndarray
     langs: list[str]
-    radius: float
+    radius: np.ndarray
+    known: np.ndarray
+    unknown: float
+
+    def outside(self, best: np.ndarray, cosine: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
+        """Which texts are to be rejected, by their nearest centroids, cosines and trigrams."""
+        size = np.array([max(1, len(g)) for g in grams])
+        new = np.array([np.count_nonzero(~self.known[g]) for g in grams]) / size
+        return (cosine < self.radius[best] * size / (size + SLACK)) | (new > np.minimum(self.unknown + 1 / np.sqrt(size), MOST_UNKNOWN))
 
     def vectors(self, raw: np.ndarray) -> np.ndarray:
         v = np.log1p(raw, dtype=np.float32) * self.idf
@@ -95,30 +125,46 @@ def _clusters(v: np.ndarray, k: int) -> np.ndarray:
     return centre
 
 
-def fit(rows: list[tuple[str, bytes, str]]) -> Model:
-    """From (language, counts of a text as 16-bit numbers, one of its words) of the sample."""
+def fit(rows: list[tuple[str, bytes, bytes]]) -> Model:
+    """From (language, counts of a text as 16-bit numbers, its trigrams' hashes and their counts as 32-bit numbers) of the sample."""
     rows = sorted(rows)
     raw = np.frombuffer(b"".join(r[1] for r in rows), np.uint16).reshape(len(rows), DIM)
     idf = (np.log((1 + len(rows)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Model(idf, np.empty((0, DIM), np.float32), [], 0.0)
+    model = Model(idf, np.empty((0, DIM), np.float32), [], np.empty(0), np.zeros(1 << KNOWN_BITS, dtype=bool), 0.0)
+    if not rows:
+        return model
     v = model.vectors(raw)
     names = np.array([r[0] for r in rows])
     for lang in sorted(set(names)):
         centre = _clusters(v[names == lang], CENTROIDS)
         model.centroids = np.vstack([model.centroids, centre.astype(np.float32)])
         model.langs += [lang] * len(centre)
-    if rows:
-        model.radius = 0.5 * min(float(model.nearest(counts(word)[None, :])[1][0]) for _, _, word in rows)
+    grams = [np.frombuffer(r[2], np.int32).reshape(2, -1) for r in rows]
+    size = np.array([max(1, int(n.sum())) for _, n in grams])
+    best, cosine = model.nearest(raw)
+    # what the text's length gives is taken off, so that short texts don't set the limit of long ones
+    level = cosine * (size + SLACK) / size
+    each = [level[best == j] for j in range(len(model.langs))]
+    model.radius = np.array([0.5 * min(1.0, float(np.quantile(x if len(x) else level, LOW, method="lower"))) for x in each])
+    seen = np.zeros(1 << KNOWN_BITS, dtype=np.int32)
+    for g, _ in grams:
+        seen[g] += 1
+    model.known = seen > 0
+    new = np.array([int(n[seen[g] < 2].sum()) for g, n in grams]) / size
+    model.unknown = float(2 * np.quantile(np.maximum(new - 1 / np.sqrt(size), 0), 1 - LOW) + 0.05)
     return model
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [x.as_py() for x in batch.column(1)]
-        words = [min(t.split(), key=lambda w: (not w.isalpha(), len(w), w)) for t in texts]
+        texts = [read(x.as_py()) for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([np.minimum(counts(t), 65535).astype(np.uint16).tobytes() for t in texts], pa.binary()), pa.array(words, pa.string())],
-            names=["lang", "whole", "word"],
+            [
+                batch.column(0),
+                pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for c, _ in texts], pa.binary()),
+                pa.array([np.array(np.unique(g, return_counts=True), dtype=np.int32).tobytes() for _, g in texts], pa.binary()),
+            ],
+            names=["lang", "whole", "grams"],
         )
 
 
@@ -132,8 +178,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     each = max(1, sample // len(size))
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, each / n))) for k, n in size.items()])
     drawn = rows.where(F.shiftrightunsigned(F.xxhash64("id", F.lit("langid")), 11).cast("double") / float(1 << 53) < share)
-    got = drawn.select("lang", "text").mapInArrow(_sampled, "lang string, whole binary, word string").limit(2 * sample).collect()
-    return fit([(r["lang"], bytes(r["whole"]), r["word"]) for r in got])
+    got = drawn.select("lang", "text").mapInArrow(_sampled, "lang string, whole binary, grams binary").limit(2 * sample).collect()
+    return fit([(r["lang"], bytes(r["whole"]), bytes(r["grams"])) for r in got])
 
 
 def _predicted(shared):
@@ -144,13 +190,13 @@ def _predicted(shared):
                 part = batch.slice(at, 512)
                 texts = [x.as_py() for x in part.column(1)]
                 known = np.array([has_letter(t) for t in texts])
-                pred, score = ["und"] * len(texts), np.zeros(len(texts))
+                pred, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
                 if known.any() and model.langs:
-                    best, cosine = model.nearest(np.array([counts(t) for t, k in zip(texts, known) if k]))
-                    score[known] = cosine
+                    both = [read(t) for t, k in zip(texts, known) if k]
+                    best, cosine = model.nearest(np.array([c for c, _ in both]))
+                    score[known], rejected[known] = cosine, model.outside(best, cosine, [g for _, g in both])
                     for i, j in zip(np.flatnonzero(known).tolist(), best.tolist()):
                         pred[i] = model.langs[j]
-                rejected = ~known | (score < model.radius)
                 yield pa.RecordBatch.from_arrays([*part.columns[:1], *part.columns[2:], pa.array(pred, pa.string()), pa.array(score), pa.array(rejected)], names=[*part.schema.names[:1], *part.schema.names[2:], "lang_pred", "score", "rejected"])
 
     return run
@@ -161,7 +207,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     ``lang_pred`` is the language of the nearest centroid, "und" for null texts, texts without
     a letter and models without languages; ``score`` its cosine from 0 to 1, 0 with "und".
-    ``rejected`` marks "und" and texts outside the radius. Long texts are read whole, in
+    ``rejected`` marks "und", texts outside the radius and texts of unknown trigrams. Long texts are read whole, in
     pieces. Repeated and null ids are separate rows; an empty table gives an empty table;
     other columns are neither read nor returned.
     """
