@@ -1,7 +1,7 @@
 """Personal data: base patterns, and spans from weak supervision, in DataFrame operations only.
 
 Candidates for added spans are long mixed runs of letters and digits, as keys and passwords
-are. Labelers vote on each candidate (+1, -1, or 0 where they abstain): patterns, a gazetteer
+are, what a word announces as a secret, and what begins with an issuer's prefix. Labelers vote on each candidate (+1, -1, or 0 where they abstain): patterns, a gazetteer
 of issuers' prefixes, and the words before the candidate. Expectation-maximisation estimates
 how reliable each labeler is from all candidates of the corpus, without gold labels, and its
 posteriors train the final classifier, a logistic model on the candidate's own features.
@@ -32,8 +32,6 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-#: Letters, digits and underscores, at least 16, of which some are letters and some digits.
-CANDIDATE = r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])(?=[0-9_]*+[A-Za-z])[A-Za-z0-9_]{16,}+"
 #: Characters before a candidate that the context labelers read.
 CONTEXT = 24
 BLOCK = 128
@@ -42,6 +40,23 @@ BLOCK = 128
 SECRET_WORDS = "password passwd pwd passphrase secret token key apikey auth bearer credential"
 OTHER_WORDS = "id uuid guid sha md5 commit hash rev version checksum etag"
 PREFIXES = "AKIA ASIA ghp_ gho_ sk_live_ sk_test_ xoxb xoxp AIza glpat"
+#: Of the words for secrets, those that hardly announce anything else.
+SURE_WORDS = "password passwd pwd passphrase"
+
+
+def _words(words: str) -> str:
+    return "|".join(words.split())
+
+
+# What an announcing word and "=" or ":" are followed by, at least 6 characters; after a mere
+# space it must have a digit. The cheap looks back come first.
+_VALUE = r"[A-Za-z0-9_/+][A-Za-z0-9_/+=.-]{4,}[A-Za-z0-9_/+=]"
+_ASSIGNED = rf"(?<=[=:]\s{{0,2}}[\"']?)(?<=(?i:{_words(SECRET_WORDS)})s?[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?){_VALUE}"
+_AFTER_SPACE = rf"(?<=\s)(?=[A-Za-z_/+=.-]*+[0-9])(?<=(?i:{_words(SECRET_WORDS)})\s){_VALUE}"
+_ISSUED = rf"(?<![A-Za-z0-9_-])(?:{_words(PREFIXES)})[A-Za-z0-9_-]{{8,}}+"
+#: Letters, digits and underscores, at least 16, of which some are letters and some digits.
+_MIXED = r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])(?=[0-9_]*+[A-Za-z])[A-Za-z0-9_]{16,}+"
+CANDIDATE = f"{_ASSIGNED}|{_AFTER_SPACE}|{_ISSUED}|{_MIXED}"
 
 
 def _digits(s: Column) -> Column:
@@ -143,8 +158,8 @@ def candidates(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("_candidates", free).drop("_found")
 
 
-def _words(words: str) -> str:
-    return "|".join(words.split())
+#: Small letters, capitals and digits.
+_THREE_SORTS = "(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])"
 
 
 def labelers(m: Column, before: Column) -> dict[str, Column]:
@@ -155,9 +170,11 @@ def labelers(m: Column, before: Column) -> dict[str, Column]:
         "capitals": F.when(m.rlike("^[A-Z0-9]+$"), 1).otherwise(0),
         "gazetteer": F.when(m.rlike(f"^(?:{_words(PREFIXES)})"), 1).otherwise(0),
         "announced": F.when(before.rlike(rf"(?i)(?:{_words(SECRET_WORDS)})[\"'\s]*[=:]?[\"'\s]*$"), 1).otherwise(0),
+        "sure": F.when(before.rlike(rf"(?i)(?:{_words(SURE_WORDS)})[\"']?\s*[=:][\"'\s]*$"), 1).otherwise(0),
         "other_name": F.when(before.rlike(rf"(?i)(?:^|[^a-z])(?:{_words(OTHER_WORDS)})[\"'\s]*[=:#/]?[\"'\s]*$"), -1).otherwise(0),
+        "mixed": F.when(m.rlike(_THREE_SORTS), 1).otherwise(0),
         "words": F.when(m.rlike("[a-z]{7,}"), -1).otherwise(0),
-        "digits": F.when(share.between(0.15, 0.85), 1).otherwise(-1),
+        "digits": F.when(share.between(0.15, 0.85), 1).when((share > 0.85) | ((share > 0) & (F.length(m) >= 16) & m.rlike("^[A-Za-z0-9_]+$")), -1).otherwise(0),
     }
 
 
@@ -168,6 +185,9 @@ def span_features(m: Column, before: Column) -> dict[str, Column]:
         "assigned": before.rlike(r"[=:][\"'\s]*$"),
         "quoted": before.rlike("[\"']$"),
         "announced": before.rlike(rf"(?i)(?:{_words(SECRET_WORDS)})[\"'\s]*[=:]?[\"'\s]*$"),
+        "sure": before.rlike(rf"(?i)(?:{_words(SURE_WORDS)})[\"']?\s*[=:][\"'\s]*$"),
+        "mixed": m.rlike(_THREE_SORTS),
+        "digitless": ~m.rlike("[0-9]"),
         "hex": m.rlike("^[0-9a-f]+$|^[0-9A-F]+$"),
         "capitals": m.rlike("^[A-Z0-9]+$"),
         "prefix": m.rlike(f"^(?:{_words(PREFIXES)})"),
@@ -179,12 +199,17 @@ def span_features(m: Column, before: Column) -> dict[str, Column]:
     return {k: v.cast("int") for k, v in tests.items()}
 
 
-def estimate(counted: list[tuple[tuple, int]], rounds: int = 100) -> list[float]:
+def _is_sure(votes: dict[str, int]) -> bool:
+    """Whether labelers that are hardly ever wrong agree on a secret, and none says that it is something else."""
+    return votes["other_name"] == 0 and (votes["sure"] == 1 or votes["gazetteer"] == 1 or (votes["announced"] == votes["mixed"] == 1 and votes["words"] == 0))
+
+
+def estimate(counted: list[tuple[tuple, int]], rounds: int = 100, sure: list[bool] | None = None) -> list[float]:
     """For each vote pattern the probability of a secret, by expectation-maximisation.
 
     ``counted`` are vote patterns with their numbers. Labelers count as independent given the
     class; a labeler's chance of each vote in each class is estimated with a small prior that
-    it is right more often than wrong.
+    it is right more often than wrong. Patterns that are ``sure`` stay at 0.95 at least.
     """
     width = len(counted[0][0]) if counted else 0
     post = [min(0.95, max(0.05, 0.5 + 0.2 * sum(v))) for v, _ in counted]
@@ -205,6 +230,8 @@ def estimate(counted: list[tuple[tuple, int]], rounds: int = 100) -> list[float]
         for v, _ in counted:
             odds = math.log(prior / (1 - prior)) + sum(math.log(chance[j][0][v[j]] / chance[j][1][v[j]]) for j in range(width))
             following.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
+        if sure:
+            following = [max(0.95, p) if known else p for p, known in zip(following, sure)]
         if max(abs(a - b) for a, b in zip(post, following)) < 1e-9:
             break
         post = following
@@ -242,7 +269,7 @@ def train(found: DataFrame) -> list[float] | None:
     for r in patterns:
         by_votes[tuple(r["votes"])] = by_votes.get(tuple(r["votes"]), 0) + r["n"]
     counted = sorted(by_votes.items())
-    post = dict(zip([v for v, _ in counted], estimate(counted)))
+    post = dict(zip([v for v, _ in counted], estimate(counted, sure=[_is_sure(dict(zip(votes, v))) for v, _ in counted])))
     return fit_logistic(sorted((tuple(r["features"]), post[tuple(r["votes"])], r["n"]) for r in patterns))
 
 
