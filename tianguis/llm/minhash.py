@@ -47,22 +47,25 @@ def rows_of_band(percent: int) -> int:
 
 def sketches(sets: list[np.ndarray], bins: int) -> np.ndarray:
     """One row of ``bins`` coordinates for each non-empty set."""
-    out = np.full((len(sets), bins), _EMPTY, dtype=np.uint64)
     items = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    return sketched(items, np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets), bins)
+
+
+def sketched(items: np.ndarray, owner: np.ndarray, count: int, bins: int) -> np.ndarray:
+    """The same from the sets' items, which may repeat, and the set from 0 to ``count`` - 1 that each belongs to."""
+    out = np.full((count, bins), _EMPTY, dtype=np.uint64)
     flat = out.reshape(-1)
     for r in range(2 * bins):
         if not len(items):
             break
         h = mix(items + np.uint64((r * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) % (1 << 64)))
         where = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32) if r < bins else np.uint64(r - bins)
-        value = np.uint64(r << 48) | (mix(h) >> np.uint64(16))
+        # the bin follows from the uppermost bits, the value from those below
+        value = np.uint64(r << 48) | (h & np.uint64((1 << 48) - 1))
         np.minimum.at(flat, owner * bins + where.astype(np.int64) if r < bins else owner * bins + (r - bins), value)
-        open_sets = np.unique(owner)
-        still = np.zeros(len(sets), dtype=bool)
-        still[open_sets] = (out[open_sets] == _EMPTY).any(axis=1)
-        if not still[open_sets].all():
-            rest = still[owner]
+        unfilled = (out == _EMPTY).any(axis=1)
+        rest = unfilled[owner]
+        if not rest.all():
             items, owner = items[rest], owner[rest]
     return out
 
