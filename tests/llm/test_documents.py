@@ -101,6 +101,13 @@ def test_near_duplicates_stage_keeps_one_of_each(docs, empty):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.keep_one_of_near_duplicates(empty).count() == 0
 
 
+def test_rows_that_share_an_id_are_linked_by_their_own_texts(spark):
+    a, b = BASE[0], BASE[1]
+    rows = [(1, a), (1, b), (2, edited(a, 1, 1)), (3, edited(b, 1, 2)), (4, BASE[2]), (4, BASE[2]), (None, b)]
+    got = sorted(((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True)]
+
+
 def test_null_ids_stay(spark):
     rows = spark.createDataFrame([(None, BASE[0]), (1, BASE[0]), (2, BASE[0])], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.kept) for r in minhash.near_duplicates(rows).collect()) == [(0, True), (1, True), (2, False)]
@@ -132,14 +139,24 @@ def test_mixture(spark, docs, empty):
         mixing.mix_sources(docs, {k: 0 for k in weights})
 
 
-def test_no_source_is_a_block_from_its_share():
-    for weights in ({"a": 1, "b": 1}, {"a": 50, "b": 30, "c": 20}, {"a": 997, "b": 1, "c": 2}, {str(k): k + 1 for k in range(40)}):
-        parts = mixing.shares(weights)
-        plan, size, seen = mixing.frame_schedule(parts), sum(parts.values()), Counter()
-        assert len(plan) == size and Counter(s for s, *_ in plan) == parts
-        for slot, (s, *_) in enumerate(plan):
-            seen[s] += 1
-            assert all(abs(seen[x] - parts[x] * (slot + 1) / size) < 1 for x in parts)
+def test_more_sources_than_places(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 4)
+    rows = [(i, f"s{i % 7}" if i % 3 else "hot") for i in range(600)] + [(None, None), (5, "s1"), (5, "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    got = mixing.mix_sources(df, block=8).orderBy("mix_position").collect()
+    assert [r.mix_position for r in got] == list(range(603)) and Counter(r.mix_source for r in got) == Counter(s or "" for _, s in rows)
+    assert all((r.source or "") == r.mix_source and r.mix_release <= r.mix_slot < r.mix_deadline for r in got)
+    # the sources that share a place are spread over all of it
+    shared = [r.source for r in got if r.source in ("s3", "s4", "s5", "s6")]
+    for s in ("s4", "s5", "s6"):
+        quarters = [shared[k * len(shared) // 4 : (k + 1) * len(shared) // 4].count(s) for k in range(4)]
+        assert min(quarters) > 0.1 * sum(quarters)
+
+
+def test_blocks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 10)
+    rows = mixing.mix_sources(spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"))).collect()
+    assert sorted(r.mix_position for r in rows) == list(range(1000)) and max(r.mix_slot for r in rows) < 13
 
 
 def test_phases_use_up_all_blocks():

@@ -52,6 +52,20 @@ def test_near_vectors_equal_brute_force(spark):
     assert embedding_dedup.near_vectors(df.where("false")).count() == 0
 
 
+def test_each_length_of_vectors_is_searched(spark):
+    r = np.random.default_rng(5)
+    rows, want = [], {}
+    for dim in (1, 2, 3, 8):
+        x = np.repeat(r.normal(size=(6, dim)), 4, axis=0) * (1 + r.normal(size=(24, dim)) * 0.01)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        for i, n in enumerate((unit @ unit.T >= 0.93).sum(axis=1) - 1):
+            rows.append((100 * dim + i, x[i].tolist(), "a"))
+            want[100 * dim + i] = n
+    rows += [(-1, [1.0, 2.0], "b"), (-1, [1.0, 2.001], "b"), (None, [1.0, 2.0], "b")]
+    got = [(v.vec_id, v.n_links, v.component_id) for v in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(3)).collect()]
+    assert {i: n for i, n, _ in got if i and i > 0} == want and [x for x in got if x[0] is None or x[0] < 0].count((-1, 1, -1)) == 2 and (None, 0, None) in got
+
+
 def test_small_blocks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "MEMBERS", 7)
     monkeypatch.setattr(embedding_dedup, "PROBES", 5)

@@ -190,31 +190,33 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     the index finds at least the target recall. Identical vectors are always linked.
 
     Null vectors, zero vectors and vectors with null or non-finite components are linked with
-    nothing, as are rows with a null label or id. Vectors of another length than the most
-    common one are linked with identical ones only. Rows that repeat an id count as rows. An
-    empty table gives an empty table; other columns are neither read nor returned.
+    nothing, as are rows with a null label or id. Vectors of different lengths are not linked;
+    each length has an index of its own, and of vectors of one number the sign is all that
+    their cosine tells. Rows that repeat an id count as rows. An empty table gives an empty
+    table; other columns are neither read nor returned.
     """
     v = F.col(vector_col).cast("array<double>")
     slim = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
     # zeros have one sign here, so that equal vectors are equal keys
-    good = slim.where(F.col("id").isNotNull() & F.col("label").isNotNull() & _valid(F.col("v"))).withColumn("v", F.transform("v", lambda c: c + F.lit(0.0)))
-    classes = durable(good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    lengths = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    if lengths is None or lengths["dim"] < 2:
-        links = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
-    else:
-        usual = classes.where(F.size("v") == lengths["dim"])
-        index = fit(usual, lengths["dim"], lengths["n"], threshold)
-        shared = vectors.sparkSession.sparkContext.broadcast(index)
-        links = durable(_links(usual, shared, threshold))
+    keyed = slim.withColumn("v", F.when(F.col("id").isNotNull() & F.col("label").isNotNull() & _valid(F.col("v")), F.transform("v", lambda c: F.when(F.size("v") == 1, F.signum(c)).otherwise(c) + F.lit(0.0))))
+    # the rows of a class are named by the least id, and where ids repeat by the vector
+    classes = keyed.where(F.col("v").isNotNull()).groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    classes = durable(classes.withColumn("rep", F.xxhash64("label", "v")))
+    links = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
+    for size in classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).where("n > 1 and dim > 1").orderBy("dim").collect():
+        alike = classes.where(F.size("v") == size["dim"])
+        shared = vectors.sparkSession.sparkContext.broadcast(fit(alike, size["dim"], size["n"], threshold))
+        links = links.union(_links(alike, shared, threshold))
+    links = durable(links)
     both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select("b", "a"))
     near = both.join(classes.select(F.col("rep").alias("other"), "n"), "other").groupBy("rep").agg(F.sum("n").alias("near"))
     found = connected_components(links)
+    parts = found.select(F.col("node").alias("rep"), F.col("component").alias("part")).join(classes.select("rep", "least"), "rep")
+    names = parts.join(parts.groupBy("part").agg(F.min("least").alias("component")), "part").select("rep", "component")
     known = (
-        classes.join(near, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "v", (F.coalesce("near", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+        classes.join(near, "rep", "left").join(names, "rep", "left")
+        .select("label", "v", (F.coalesce("near", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "least").alias("component"))
     )
-    keyed = slim.withColumn("v", F.when(F.col("id").isNotNull() & F.col("label").isNotNull() & _valid(F.col("v")), F.transform("v", lambda c: c + F.lit(0.0))))
     out = keyed.join(known, ["label", "v"], "left")
     return out.select(
         F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id")

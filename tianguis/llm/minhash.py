@@ -93,7 +93,7 @@ def _sketched(rows: int, width: int):
                 full = np.array([len(s) > 0 for s in sets])
                 keys = np.empty((len(sets), BANDS), dtype=np.int64)
                 keys[full] = band_keys(sketches([s for s in sets if len(s)], BANDS * rows), rows).view(np.int64)
-                digest = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets])
+                digest = np.array([_digest(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[begin:at],
@@ -109,16 +109,27 @@ def _sketched(rows: int, width: int):
 
 
 def _shingled(width: int):
+    """The sets of wanted classes; of the texts that share an id only those of the class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).cast(pa.large_binary())
-            for at in range(0, len(texts), 256):
-                sets = [shingle_set(texts[i].as_py(), width).tobytes() for i in range(at, min(at + 256, len(texts)))]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 256], batch.column(1)[at : at + 256], pa.array(sets, pa.binary())], names=["id", "tasks", "set"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = batch.column(2).cast(pa.large_binary())
+                sets = [shingle_set(t.as_py(), width) for t in texts]
+                own = pa.array([_digest(s)[0] == node for s, node in zip(sets, batch.column(0).to_pylist())], pa.bool_())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).filter(own), batch.column(1).filter(own), pa.array([s.tobytes() for s in sets], pa.binary()).filter(own)], names=["rep", "tasks", "set"]
+                )
 
     return run
 
 
+def _digest(members: np.ndarray) -> np.ndarray:
+    """128 bits of a sorted set, as two 64-bit numbers."""
+    return np.frombuffer(hashlib.blake2b(members.tobytes(), digest_size=16).digest(), np.int64)
+
+
 def forest(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect exactly what all links of at least ``percent`` connect.
 
@@ -237,36 +248,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     less; every link that counts is confirmed on the full shingle sets.
 
     Null and empty texts and texts without words have no shingles, are linked with nothing
-    and stay. Fewer words than ``width`` make one shingle. Repeated texts are one class.
-    Rows with a null id are linked with nothing and stay, with a null component. Of rows
-    with one id, all get the component of that id. An empty table gives an empty table; other
-    columns are neither read nor returned.
+    and stay. Fewer words than ``width`` make one shingle. Repeated texts are one class, which
+    half of a set's 128-bit digest names. Rows with a null id are linked with nothing and
+    stay, with a null component. Rows that share an id are each linked by their own text, and
+    their id is among those that ``component_id`` is the smallest of, for each of them. An
+    empty table gives an empty table; other columns are neither read nor returned.
     """
     rows = rows_of_band(percent)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = durable(slim.mapInArrow(_sketched(rows, width), "id long, n long, d1 long, d2 long, bands array<bigint>"))
-    classes = signed.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = signed.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("rep", F.col("d1"))
     buckets = classes.select("rep", F.explode("bands").alias("key"))
     pivots = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("other")).where("pivot < other").select("key", "pivot")
     clusters = connected_components(buckets.join(pivots, "key").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-    members = durable(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(classes.select("rep", "n"), "rep"))
-    wanted = _tasks(members, percent).select(F.col("rep").alias("id"), "tasks")
-    sets = slim.where("id is not null").join(wanted, "id").select("id", "tasks", "text").mapInArrow(_shingled(width), "id long, tasks array<bigint>, set binary")
-    grouped = sets.select(F.explode("tasks").alias("task"), "id", "set").repartition("task").sortWithinPartitions("task")
+    members = durable(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(classes.select("rep", "n", "least"), "rep"))
+    wanted = _tasks(members, percent).join(members.select("rep", F.col("least").alias("id")), "rep")
+    sets = slim.where("id is not null").join(wanted, "id").select("rep", "tasks", "text").mapInArrow(_shingled(width), "rep long, tasks array<bigint>, set binary")
+    grouped = sets.select(F.explode("tasks").alias("task"), "rep", "set").repartition("task").sortWithinPartitions("task")
     joined = connected_components(grouped.mapInArrow(_verified(percent), "a long, b long"))
-    named = classes.select("d1", "d2", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    # what the links connect goes by classes; a component's name is the smallest id of its texts
+    parts = joined.select(F.col("node").alias("rep"), F.col("component").alias("part")).join(members.select("rep", "least"), "rep")
+    names = parts.join(parts.groupBy("part").agg(F.min("least").alias("component")), "part").select("rep", "component")
+    named = classes.select("d1", "d2", "rep", "least").join(names, "rep", "left").select("d1", "d2", F.coalesce("component", "least").alias("component"))
     out = signed.select("id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    component = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
 
 def keep_one_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """``docs`` without the rows that are not kept, with all its columns. Of rows with one id, all share its fate."""
+    """``docs`` without the rows that are not kept, with all its columns, whatever they are named.
+
+    A similarity of 0.8 is what the corpus pipeline takes. Rows that share an id go together,
+    once one of their texts is near to one of a smaller id; rows with a null id stay.
+    """
     found = near_duplicates(docs, id_col, text_col, percent)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("own"))
+    return rows.join(gone, F.col("own") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
