@@ -13,18 +13,23 @@ LINKS_A_TASK = 100_000
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests, notebooks) is a folder of this machine taken instead.
+    The folder is the session's ``spark.checkpoint.dir``; see ``shared_folder``.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors can reach; set here only where it is unset."""
+    """The folder that the driver and all executors can reach.
+
+    Where it is unset, a session of this machine alone (tests, notebooks) takes a folder of
+    this machine, and a cluster raises, since its executors could not read what others wrote.
+    """
     sc = spark.sparkContext
     set_to = sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not set_to and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors can reach")
         sc.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="tianguis-checkpoint-"))
     return (set_to or sc.getCheckpointDir()).rstrip("/")
 

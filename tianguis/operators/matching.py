@@ -20,7 +20,7 @@ from tianguis.schema import MATCH_LEVELS
 
 # Words that say nothing about which product it is.
 STOPWORDS = "de del la el los las en con para y o a x × un una por sin al tipo".split()
-UNIT_WORDS = [n for by_factor in UNITS.values() for names in by_factor.values() for n in names]
+UNIT_WORDS = [name for name, _, _ in UNITS]
 RANK = {name: k for k, name in enumerate(MATCH_LEVELS)}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,16 +54,29 @@ def read_listings(spark: SparkSession, path: str, source_id: str | None = None,
 
 def _records(reader, path: str, whole: bool) -> DataFrame:
     """One row a record with its text in ``_raw``, its file, and its place in a whole file."""
-    text = reader.option("wholetext", whole).text(path).select(F.col("value"), F.col("_metadata.file_path").alias("_file"))
+    text = reader.option("wholetext", whole).text(path).select(F.col("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
     if whole:
         doc = F.parse_json("value")
         listed = F.coalesce(F.try_variant_get(doc, "$.observations", "array<variant>"), F.try_variant_get(doc, "$", "array<variant>"))
         rows = text.select("_file", F.posexplode(listed).alias("_at", "_v")).select("_file", "_at", F.to_json("_v").alias("_raw"))
     else:
-        rows = text.where(F.trim("value") != "").select("_file", F.monotonically_increasing_id().alias("_at"), F.col("value").alias("_raw"))
+        rows = _numbered(text.where(F.trim("value") != ""))
     return rows.select("*", F.from_json("_raw", _LOOSE, {"mode": "FAILFAST"}).alias("_r")).select("_file", "_at", "_raw", "_r.*")
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``(_file, _at, _raw)``: lines with their number in their file, from 0.
+
+    A file is read in blocks, whose rows follow each other in one task; the blocks' sizes
+    give each block the number that it begins with, so that no task holds a file.
+    """
+    dealt = lines.withColumn("_id", F.monotonically_increasing_id())
+    blocks = dealt.groupBy("_file", "_block").agg(F.min("_id").alias("_least"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    begun = blocks.select("_file", "_block", (before - F.col("_least")).alias("_shift"))
+    return dealt.join(begun, ["_file", "_block"]).select("_file", (F.col("_id") + F.col("_shift")).alias("_at"), F.col("value").alias("_raw"))
+
+
 def read_rates(spark: SparkSession, path: str) -> DataFrame:
     """Rate records ``{from|from_currency, to|to_currency, rate, as_of, source}`` from a file like read_listings'."""
     names = ["from_currency", "to_currency", "from", "to", "rate", "as_of", "source"]
@@ -82,11 +95,25 @@ def read_rates(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass
 class Source:
-    """Something that loads observations between two times."""
+    """Something that loads observations between two times.
+
+    ``load(spark, since, until)``; a source that can search by product takes the target table
+    as well, by ``load_for(spark, targets, since, until)``, and may return less than it has.
+    """
 
     source_id: str
-    load: Callable[[SparkSession, object, object], DataFrame]
+    load: Callable[[SparkSession, object, object], DataFrame] | None = None
     source_name: str | None = None
+    load_for: Callable[[SparkSession, DataFrame, object, object], DataFrame] | None = None
+
+    def read(self, spark: SparkSession, targets: DataFrame, since, until) -> DataFrame:
+        """What the source gives; rows outside the times go whether or not it looked at them, those without one stay."""
+        rows = self.load_for(spark, targets, since, until) if self.load_for else self.load(spark, since, until)
+        at = F.col("captured_at")
+        for bound, inside in ((since, lambda t: at >= t), (until, lambda t: at <= t)):
+            if bound is not None and "captured_at" in rows.columns:
+                rows = rows.where(at.isNull() | inside(F.lit(bound).cast("timestamp")))
+        return rows
 
 
 def fetch_all(spark: SparkSession, sources: list[Source], target: DataFrame, since=None, until=None, source_ids: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -102,19 +129,21 @@ def fetch_all(spark: SparkSession, sources: list[Source], target: DataFrame, sin
         if source_ids is not None and s.source_id not in source_ids:
             continue
         try:
-            rows = durable(s.load(spark, since, until))
+            rows = durable(s.read(spark, target, since, until))
             found = relevant(match(pairs(prepared, prepare_observations(rows)))).select("row_uid").distinct()
             kept = durable(rows.join(found, "row_uid", "left_semi"))
-            n, total = kept.count(), rows.count()
-            ids = sorted(r[0] for r in kept.select("source_id").distinct().collect())
-            frames.append(kept)
+            n, ids = kept.agg(F.count("*"), F.array_sort(F.collect_set("source_id"))).first()
+            total, last = rows.agg(F.count("*"), F.max("row_uid")).first()
+            frames.append((kept, 0 if last is None else (last >> 33) + 1))
             status.append((s.source_id, s.source_name, "ok" if total else "vacia", None, n, ids, total - n))
         except Exception as e:
             status.append((s.source_id, s.source_name, "error", f"{type(e).__name__}: {str(e).splitlines()[0][:300]}", 0, [], 0))
     empty = spark.createDataFrame([], OBSERVATION + ", row_uid long")
-    out = empty
-    for k, f in enumerate(frames):
-        out = out.unionByName(f.withColumn("row_uid", F.col("row_uid") + F.lit(k << 50)))
+    # a row's number has its partition above 33 bits; those of one source follow those of the one before
+    out, before = empty, 0
+    for f, partitions in frames:
+        out = out.unionByName(f.withColumn("row_uid", F.col("row_uid") + F.lit(before << 33)))
+        before += partitions
     columns = "source_id string, source_name string, status string, error string, observations_returned int, source_ids_returned array<string>, discarded_by_prefilter int"
     stated = spark.createDataFrame(status, columns).withColumn("fetched_at", F.current_timestamp())
     return out, stated.select(*[c.split(" ")[0] for c in SOURCE_STATUS.split(", ")])

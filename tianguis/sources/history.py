@@ -22,8 +22,13 @@ def read_history(spark: SparkSession, path: str, since=None, until=None) -> Data
 
 
 def latest(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
-    """The latest row of each key, of equal ones the smallest ``tie``; aggregated before it is shuffled."""
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct("*"), F.struct(F.col(at), (-F.col(tie)))).alias("_row"))
+    """The latest row of each key, of equal ones the smallest ``tie``; aggregated before it is shuffled.
+
+    ``at`` is a time or a number, and a row without one comes last; ``tie`` can be anything that has an order.
+    """
+    # what comes first by (latest, tie) as a minimum, since not every kind of tie can be negated
+    age = -F.unix_micros(F.col(at).cast("timestamp")) if dict(rows.dtypes)[at] in ("timestamp", "timestamp_ntz", "date") else -F.col(at).cast("double")
+    newest = rows.groupBy(*keys).agg(F.min_by(F.struct("*"), F.struct(F.col(at).isNull(), age.alias("age"), F.col(tie).alias("tie"))).alias("_row"))
     return newest.select(*[F.col("_row")[c].alias(c) for c in rows.columns])
 
 

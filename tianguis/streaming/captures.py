@@ -22,10 +22,13 @@ def unique_captures(captures: DataFrame, lateness: str = "14 days") -> DataFrame
 
 
 def weekly_supply(unique: DataFrame) -> DataFrame:
-    """Listings and mean price by source, currency and week; a week comes out once it is closed."""
+    """Listings and mean price by source, currency and week; a week comes out once it is closed.
+
+    Sellers are counted in bounded state, hence approximately; exact counts are the batch analysis's.
+    """
     week = F.window("captured_at", "7 days", startTime=MONDAY)
-    counted = unique.groupBy(week.alias("week"), "source_id", "currency").agg(F.count("*").alias("listing_count"), F.approx_count_distinct("seller").alias("sellers"), F.avg("price").alias("price_mean"))
-    return counted.select(F.col("week.start").alias("period_start"), F.col("week.end").alias("period_end"), "source_id", "currency", "listing_count", "sellers", "price_mean")
+    counted = unique.groupBy(week.alias("week"), "source_id", "currency").agg(F.count("*").alias("listing_count"), F.approx_count_distinct("seller").alias("sellers_approx"), F.avg("price").alias("price_mean"))
+    return counted.select(F.col("week.start").alias("period_start"), F.col("week.end").alias("period_end"), "source_id", "currency", "listing_count", "sellers_approx", "price_mean")
 
 
 def keep_history(unique: DataFrame, path: str, checkpoint: str):
