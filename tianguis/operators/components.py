@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,25 @@ def shared_folder(spark: SparkSession) -> str:
     return (set_to or sc.getCheckpointDir()).rstrip("/")
 
 
+class Scratch:
+    """Tables in the shared folder that some steps hand to each other; ``drop`` when no plan reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        at = f"{self.path}/{self.count}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def drop(self) -> None:
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _state(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(
         F.count("*").alias("n"),

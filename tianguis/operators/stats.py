@@ -1,35 +1,92 @@
 """Robust price statistics by group. All values are exact and unrounded; see plans for rounding.
 
 Groups are aggregated in two stages and their figures joined back, so that a dominant
-currency is spread over tasks; nothing is computed in a window over a whole group.
+currency is spread over tasks; nothing is computed in a window over a whole group. Medians and
+quartiles are exact and split as well: see ``quantiles``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tianguis.operators.dedup import same
-
 # The outlier rule's constants.
 Z_SCALE, Z_LIMIT, MAD_FLOOR, FENCE, RATIO = 0.6745, 3.5, 0.05, 3.0, 3.0
 
 
-def summary_columns(value: Column) -> list[Column]:
-    """What describes a group of prices; figures that need more rows than there are are null."""
-    n, median = F.count(value), F.median(value)
-    quartile = [F.percentile(value, q) for q in (0.25, 0.75)]
-    return [
-        n.alias("n"), F.min(value).alias("price_min"), F.max(value).alias("price_max"), F.avg(value).alias("price_mean"), median.alias("price_median"),
-        (F.max(value) - F.min(value)).alias("price_range"),
-        F.when((n >= 2) & (median > 0), (F.max(value) - F.min(value)) / median * 100).alias("price_spread_pct"),
-        F.when(n >= 4, quartile[0]).alias("p25"), F.when(n >= 4, quartile[1]).alias("p75"), F.when(n >= 4, quartile[1] - quartile[0]).alias("iqr"),
-        F.when((n >= 3) & (F.avg(value) > 0), F.stddev_samp(value) / F.avg(value)).alias("coefficient_of_variation"),
-    ]
+#: Lots an octave of values has.
+LOTS = 256
+
+
+def _lot(v: Column) -> Column:
+    """The lot of a value, in the order of the values, on a scale of its logarithm."""
+    size = F.floor(F.log2(F.abs(v)) * LOTS).cast("long") + 2000 * LOTS
+    return F.when(F.isnan(v), 1 << 40).when(v == 0, 0).when(v == float("inf"), 1 << 39).when(v == float("-inf"), -(1 << 39)).otherwise(F.signum(v).cast("long") * size)
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right``, which has a row for each of its keys at most; a null key equals a null."""
+    named = right.select(*[F.col(k).alias("_r_" + k) for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(named["_r_" + k])
+    return left.join(named, on, how).drop(*["_r_" + k for k in keys])
+
+
+def counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``(*keys, _v, _c)``: how often each group has each value."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+
+
+def quantiles(counts: DataFrame, keys: list[str], points: dict[str, float]) -> DataFrame:
+    """``(*keys, *points)`` of ``counted`` values, exact, between neighbours by linear interpolation.
+
+    Values are dealt into lots by size. The lots' counts, a few thousand a group, tell which
+    lots have the ranks that the quantiles need; only these are put in order, each by itself.
+    """
+    lots = counts.groupBy(*keys, _lot(F.col("_v")).alias("_lot")).agg(F.sum("_c").alias("_k"))
+    group = Window.partitionBy(*keys)
+    placed = lots.withColumns({"_end": F.sum("_k").over(group.orderBy("_lot").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_k").over(group)})
+    ranks = {name: (F.col("_n") - 1) * F.lit(q) for name, q in points.items()}
+
+    def holds(rank: Column, end: Column, size: Column) -> Column:
+        return (rank < end) & (rank >= end - size)
+
+    any_rank = F.lit(False)
+    for r in ranks.values():
+        any_rank = any_rank | holds(F.floor(r), F.col("_end"), F.col("_k")) | holds(F.ceil(r), F.col("_end"), F.col("_k"))
+    hit = placed.where(any_rank).select(*keys, "_lot", "_n", (F.col("_end") - F.col("_k")).alias("_before"))
+    inside = _beside(counts.withColumn("_lot", _lot(F.col("_v"))), hit, [*keys, "_lot"])
+    run = Window.partitionBy(*keys, "_lot").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ended = inside.withColumn("_end", F.col("_before") + F.sum("_c").over(run))
+    ends = []
+    for name, r in ranks.items():
+        for side, rank in (("lo", F.floor(r)), ("hi", F.ceil(r))):
+            ends.append(F.max(F.when(holds(rank, F.col("_end"), F.col("_c")), F.col("_v"))).alias(f"_{side}_{name}"))
+    found = ended.groupBy(*keys).agg(F.max("_n").alias("_n"), *ends)
+    share = {name: r - F.floor(r) for name, r in ranks.items()}
+    return found.select(*keys, *[((1 - share[name]) * F.col(f"_lo_{name}") + share[name] * F.col(f"_hi_{name}")).alias(name) for name in points])
+
+
+def medians(rows: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    return quantiles(counted(rows, keys, value), keys, {name: 0.5})
 
 
 def price_summary(rows: DataFrame, keys: list[str], value: str = "price") -> DataFrame:
-    return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(*summary_columns(F.col(value)))
+    """What describes a group of prices; figures that need more rows than there are are null."""
+    v, n = F.col(value), F.col("n")
+    used = rows.where(v.isNotNull())
+    plain = used.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min(v).alias("price_min"), F.max(v).alias("price_max"), F.avg(v).alias("price_mean"), F.stddev_samp(v).alias("_sd"),
+    )
+    out = _beside(plain, quantiles(counted(used, keys, value), keys, {"price_median": 0.5, "_q1": 0.25, "_q3": 0.75}), keys)
+    span = F.col("price_max") - F.col("price_min")
+    return out.select(
+        *keys, "n", "price_min", "price_max", "price_mean", "price_median", span.alias("price_range"),
+        F.when((n >= 2) & (F.col("price_median") > 0), span / F.col("price_median") * 100).alias("price_spread_pct"),
+        F.when(n >= 4, F.col("_q1")).alias("p25"), F.when(n >= 4, F.col("_q3")).alias("p75"), F.when(n >= 4, F.col("_q3") - F.col("_q1")).alias("iqr"),
+        F.when((n >= 3) & (F.col("price_mean") > 0), F.col("_sd") / F.col("price_mean")).alias("coefficient_of_variation"),
+    )
 
 
 def outliers(rows: DataFrame, keys: list[str], value: str = "price", name: str = "outlier") -> DataFrame:
@@ -40,11 +97,11 @@ def outliers(rows: DataFrame, keys: list[str], value: str = "price", name: str =
     median. Rows with a null value are not judged and keep a null.
     """
     v = F.col(value)
-    used = rows.where(v.isNotNull())
-    centre = used.groupBy(*keys).agg(F.count("*").alias("_n"), F.median(v).alias("_med"), F.percentile(v, 0.25).alias("_q1"), F.percentile(v, 0.75).alias("_q3"))
-    near = used.select(*keys, v.alias("_v")).join(centre.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_med").alias("_m")), _on(keys))
-    spread = near.groupBy(*keys).agg(F.median(F.abs(F.col("_v") - F.col("_m"))).alias("_mad"))
-    figures = centre.join(spread, same(centre, spread, keys)).select(*[centre[k].alias("_k_" + k) for k in keys], "_n", "_med", "_q1", "_q3", "_mad")
+    # all figures come from how often a group has a value, rows are only joined to them at the end
+    counts = counted(rows, keys, value)
+    centre = _beside(counts.groupBy(*keys).agg(F.sum("_c").alias("_n")), quantiles(counts, keys, {"_med": 0.5, "_q1": 0.25, "_q3": 0.75}), keys)
+    away = _beside(counts, centre.select(*keys, "_med"), keys).groupBy(*keys, F.abs(F.col("_v") - F.col("_med")).alias("_v")).agg(F.sum("_c").alias("_c"))
+    figures = _beside(centre, quantiles(away, keys, {"_mad": 0.5}), keys).select(*[F.col(k).alias("_k_" + k) for k in keys], "_n", "_med", "_q1", "_q3", "_mad")
     out = rows.join(figures, _on(keys), "left")
     n, med, mad, q1, q3 = (F.col(c) for c in ("_n", "_med", "_mad", "_q1", "_q3"))
     iqr = q3 - q1
@@ -81,11 +138,14 @@ def breakdown(rows: DataFrame, keys: list[str], dimensions: list[str], value: st
     A null bucket is "desconocida".
     """
     v = F.col(value)
-    filled = rows.select(*keys, *[F.coalesce(F.col(d).cast("string"), F.lit("desconocida")).alias(d) for d in dimensions], v.alias("_v"))
-    sets = [[F.col(c) for c in (*keys, d)] for d in dimensions]
-    out = filled.groupingSets(sets, *keys, *dimensions).agg(F.count("*").alias("n"), F.median("_v").alias("price_median"), F.min("_v").alias("price_min"), F.max("_v").alias("price_max"))
-    which = F.coalesce(*[F.when(F.col(d).isNotNull(), F.lit(d)) for d in dimensions])
-    return out.select(*keys, which.alias("dimension"), F.coalesce(*dimensions).alias("bucket"), "n", "price_median", "price_min", "price_max")
+    named = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("desconocida")).alias("bucket")) for d in dimensions])
+    # counted by value before it is asked by dimension
+    counts = rows.groupBy(*keys, *dimensions, v.cast("double").alias("_v")).agg(F.count("*").alias("_c")).select(*keys, "_v", "_c", F.explode(named).alias("_d"))
+    by = [*keys, "dimension", "bucket"]
+    counts = counts.select(*keys, "_d.dimension", "_d.bucket", "_v", "_c").groupBy(*by, "_v").agg(F.sum("_c").alias("_c"))
+    plain = counts.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("_v").alias("price_min"), F.max("_v").alias("price_max"))
+    out = _beside(plain, quantiles(counts.where(F.col("_v").isNotNull()), by, {"price_median": 0.5}), by, "left")
+    return out.select(*by, "n", "price_median", "price_min", "price_max")
 
 
 def max_gap(buckets: DataFrame, keys: list[str], min_n: int = 3, exclude: tuple = ("desconocida",)) -> DataFrame:

@@ -7,12 +7,14 @@ currencies, sellers and places, missing, zero and odd prices, sold-out sources,
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tianguis.config import MarketConfig
 from tianguis.plans.analysis import Analysis, analyze
-from tianguis.plans.listings import table
+from tianguis.plans.listings import closure_sql, table
 from tianguis.plans.queries import CLASSIFIED, CLASSIFY_SQL, TITLE_TOKENS_SQL, query
 from tianguis.schema import OBSERVATION, SOURCE_STATUS, TARGET
 
@@ -50,25 +52,13 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*columns, uid.alias("row_uid"))
 
 
-def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
-    status = spark.createDataFrame([("z", "Z", "error", "timeout", None, 0, [], 0)], SOURCE_STATUS)
+@lru_cache(maxsize=2)
+def analysis(spark: SparkSession, sf_dir: str, failed: bool = False) -> Analysis:
+    """One analysis serves all queries of a session over a folder."""
+    status = spark.createDataFrame([("z", "Z", "error", "timeout", None, 0, [], 0)], SOURCE_STATUS) if failed else None
     return analyze(spark.createDataFrame(TARGETS, TARGET), captures(spark, sf_dir), analysis_end=END, now=NOW, cfg=CFG, source_status=status)
 
 
-def closure_sql(rows: str, scope: list[str]) -> str:
-    """CTEs that end in ``uniq``: of rows (scope, uid, at) with keys (key, kind) in ``keyed``, each one's component and whether it stays."""
-    s, on = ", ".join(scope), " AND ".join(f"x.{c} = y.{c}" for c in scope)
-    xs = ", ".join(f"x.{c}" for c in scope)
-    return f"""
-firsts AS (SELECT {s}, kind, uid, min(uid) OVER (PARTITION BY {s}, kind, key) AS first FROM keyed),
-lnk AS (SELECT DISTINCT {s}, uid AS a, first AS b, kind FROM firsts WHERE uid > first),
-ways AS (SELECT {s}, a, b FROM lnk UNION SELECT {s}, b, a FROM lnk),
-reach AS (SELECT {s}, a AS uid, a AS r FROM ways UNION SELECT {xs}, x.uid, y.b FROM reach x JOIN ways y ON {on} AND x.r = y.a),
-comp AS (SELECT {s}, uid, min(r) AS part FROM reach GROUP BY ALL),
-uniq AS (SELECT x.*, coalesce(y.part, x.uid) AS part, first_value(x.uid) OVER (PARTITION BY {xs}, coalesce(y.part, x.uid) ORDER BY at DESC, x.uid) AS kept
-  FROM {rows} x LEFT JOIN comp y ON {on} AND x.uid = y.uid)"""
-
-
 def outliers_sql(name: str, rows: str, keys: str, value: str) -> str:
     """CTEs that end in ``name``: ``rows`` with ``odd``, whether a row's value is an outlier of its group."""
     return f"""
@@ -96,13 +86,13 @@ obs AS (
     lower(p_name) || ' ' || p_size || ' ml' AS title, l_orderkey % 211 = 1 AS injected, CASE WHEN l_suppkey % 11 <> 4 THEN s_name END AS seller, CASE WHEN l_suppkey % 17 <> 3 THEN n_name END AS province,
     floor(l_extendedprice / l_quantity / 50) * 50 AS base, CASE WHEN l_orderkey % 37 = 5 THEN NULL WHEN l_orderkey % 41 = 7 THEN 0.0 WHEN l_orderkey % 53 = 11 THEN base * 20 ELSE base END AS price,
     CASE WHEN l_orderkey % 29 = 3 THEN NULL WHEN l_linestatus = 'O' THEN 'CUP' ELSE 'USD' END AS currency, l_returnflag = 'R' AS sold_out,
-    CASE WHEN l_orderkey % 101 = 0 THEN NULL WHEN l_orderkey % 103 = 0 THEN TIMESTAMP '2030-01-01' ELSE l_shipdate END AS at, l_shipdate - INTERVAL 1 DAY * (l_partkey % 90) AS published
+    CASE WHEN l_orderkey % 101 = 0 THEN NULL WHEN l_orderkey % 103 = 0 THEN TIMESTAMP '2030-01-01' ELSE l_shipdate END AS seen_at, l_shipdate - INTERVAL 1 DAY * (l_partkey % 90) AS published
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 ),
-rec AS (SELECT m.* EXCLUDE (part), obs.*, at IS NOT NULL AND at <= TIMESTAMP '{NOW}' + INTERVAL 5 MINUTE AS usable, date_trunc('month', at) AS month FROM obs JOIN m USING (part)),
+rec AS (SELECT m.* EXCLUDE (part), obs.*, seen_at IS NOT NULL AND seen_at <= TIMESTAMP '{NOW}' + INTERVAL 5 MINUTE AS usable, date_trunc('month', seen_at) AS month FROM obs JOIN m USING (part)),
 scoped AS (
-  SELECT target_id, 'window' AS scope, uid, at, url, seller, title, price, currency FROM rec WHERE usable AND at BETWEEN TIMESTAMP '{END}' - INTERVAL 31 DAY AND TIMESTAMP '{END}'
-  UNION ALL SELECT target_id, strftime(month, '%Y-%m-%d'), uid, at, url, seller, title, price, currency FROM rec WHERE usable AND at <= TIMESTAMP '{END}'
+  SELECT target_id, 'window' AS scope, uid, seen_at, url, seller, title, price, currency FROM rec WHERE usable AND seen_at BETWEEN TIMESTAMP '{END}' - INTERVAL 31 DAY AND TIMESTAMP '{END}'
+  UNION ALL SELECT target_id, strftime(month, '%Y-%m-%d'), uid, seen_at, url, seller, title, price, currency FROM rec WHERE usable AND seen_at <= TIMESTAMP '{END}'
 ),
 keyed AS (
   SELECT target_id, scope, uid, 0 AS kind, CAST(url AS VARCHAR) AS key FROM scoped WHERE url IS NOT NULL
@@ -110,7 +100,7 @@ keyed AS (
 ),{closure_sql('scoped', ['target_id', 'scope'])},
 w AS (
   SELECT rec.*, u.uid IS NOT NULL AS in_window, coalesce(u.uid = u.kept, false) AS first, coalesce(v.uid = v.kept, false) AS period_first,
-    len(provinces) = 0 OR coalesce(list_contains(provinces, province), false) AS in_scope, coalesce(price > 0, false) AS good
+    len(provinces) = 0 OR coalesce(list_contains(provinces, province), false) AS in_scope, coalesce(rec.price > 0, false) AS good
   FROM rec LEFT JOIN uniq u ON u.scope = 'window' AND u.target_id = rec.target_id AND u.uid = rec.uid LEFT JOIN uniq v ON v.scope <> 'window' AND v.target_id = rec.target_id AND v.uid = rec.uid
 ),
 f AS (
@@ -119,7 +109,7 @@ f AS (
 ),
 fp AS (SELECT * FROM f WHERE priced), fu AS (SELECT * FROM f WHERE measured),{outliers_sql('op', 'fp', 'target_id, currency', 'price')},{outliers_sql('ou', 'fu', 'target_id, currency', 'unit_price')},
 r AS (SELECT f.*, coalesce(op.odd, false) AS odd, coalesce(ou.odd, false) AS unit_odd,
-  CASE WHEN NOT usable THEN 'excluida' WHEN NOT in_window THEN CASE WHEN f.at < TIMESTAMP '{END}' - INTERVAL 31 DAY THEN 'historico' ELSE 'fuera_de_periodo' END WHEN NOT first THEN 'duplicado'
+  CASE WHEN NOT usable THEN 'excluida' WHEN NOT in_window THEN CASE WHEN f.seen_at < TIMESTAMP '{END}' - INTERVAL 31 DAY THEN 'historico' ELSE 'fuera_de_periodo' END WHEN NOT first THEN 'duplicado'
     WHEN NOT offered THEN 'excluida' WHEN priced OR measured THEN 'valida' ELSE 'solo_oferta' END AS status
   FROM f LEFT JOIN op USING (target_id, uid) LEFT JOIN ou USING (target_id, uid))"""
 # what the outlier tables take along besides their keys is named there, too
@@ -127,7 +117,7 @@ RECORDS_SQL = RECORDS_SQL.replace("LEFT JOIN op USING", "LEFT JOIN (SELECT targe
 
 
 @query(f"""{RECORDS_SQL}
-SELECT target_id, status, level AS match_level, pres AS presentation_status, array_to_string(list_filter([CASE WHEN at IS NULL THEN 'sin timestamp de captura' WHEN NOT usable THEN 'timestamp de captura en el futuro' END,
+SELECT target_id, status, level AS match_level, pres AS presentation_status, array_to_string(list_filter([CASE WHEN seen_at IS NULL THEN 'sin timestamp de captura' WHEN NOT usable THEN 'timestamp de captura en el futuro' END,
     CASE WHEN first AND rank < 2 THEN 'coincidencia ' || level END, CASE WHEN first AND NOT in_scope THEN CASE WHEN province IS NULL THEN 'provincia desconocida' ELSE 'fuera del ámbito geográfico solicitado' END END,
     CASE WHEN offered AND NOT good THEN 'precio ausente o inválido' END, CASE WHEN offered AND currency IS NULL THEN 'moneda desconocida o ambigua' END], lambda x: x IS NOT NULL), '; ') AS reasons,
   priced AS in_price_stats, measured AS in_unit_price_stats, odd AS outlier, unit_odd AS unit_outlier, count(*) AS n FROM r GROUP BY ALL""")
@@ -140,7 +130,7 @@ def analysis_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PERIODS_SQL = f"""{RECORDS_SQL},
-used AS (SELECT * FROM w WHERE usable AND at <= TIMESTAMP '{END}'),
+used AS (SELECT * FROM w WHERE usable AND seen_at <= TIMESTAMP '{END}'),
 got AS (SELECT * FROM used WHERE period_first AND rank >= 2 AND in_scope),
 gp AS (SELECT * FROM got WHERE good AND currency IS NOT NULL AND pres IN ('MISMA', 'NO_ESPECIFICADA')),{outliers_sql('og', 'gp', 'target_id, month, currency', 'price')},
 med AS (SELECT target_id, month, currency, count(*) AS price_n, CASE WHEN count(*) FILTER (NOT odd) >= 3 THEN median(price) FILTER (NOT odd) END AS price_median FROM og GROUP BY ALL),
@@ -164,13 +154,17 @@ sums AS (SELECT target_id, currency, count(*) AS group_n, count(*) FILTER (NOT o
   CASE WHEN count(*) FILTER (NOT odd) >= 3 THEN stddev_samp(price) FILTER (NOT odd) / avg(price) FILTER (NOT odd) END AS cv FROM r WHERE priced GROUP BY ALL),
 best AS (SELECT target_id, arg_min(currency, (-group_n, currency)) AS currency FROM (
   SELECT target_id, currency, group_n FROM sums UNION ALL SELECT DISTINCT target_id, currency, 0 FROM r WHERE measured AND (target_id, currency) NOT IN (SELECT target_id, currency FROM sums)) GROUP BY target_id),
-main AS (SELECT target_id, currency, coalesce(n, 0) AS n, price_median, CASE WHEN n >= 2 AND price_median > 0 THEN round(rng / price_median * 100, 1) END AS spread, round(cv, 3) AS cv FROM best LEFT JOIN sums USING (target_id, currency)),
+spare AS (SELECT target_id, currency, count(*) FILTER (NOT unit_odd) AS n, median(unit_price) FILTER (NOT unit_odd) AS price_median, max(unit_price) FILTER (NOT unit_odd) - min(unit_price) FILTER (NOT unit_odd) AS rng,
+  CASE WHEN count(*) FILTER (NOT unit_odd) >= 3 THEN stddev_samp(unit_price) FILTER (NOT unit_odd) / avg(unit_price) FILTER (NOT unit_odd) END AS cv FROM r WHERE measured AND dim = 'v' GROUP BY ALL HAVING count(*) FILTER (NOT unit_odd) > 0),
+main0 AS (SELECT target_id, currency, CASE WHEN coalesce(a.n, 0) = 0 AND b.n IS NOT NULL THEN struct_pack(n := b.n, m := b.price_median, r := b.rng, c := b.cv) ELSE struct_pack(n := coalesce(a.n, 0), m := a.price_median, r := a.rng, c := a.cv) END AS z
+  FROM best LEFT JOIN sums a USING (target_id, currency) LEFT JOIN spare b USING (target_id, currency)),
+main AS (SELECT target_id, currency, z.n AS n, round(z.m, 2) AS price_median, CASE WHEN z.n >= 2 AND z.m > 0 THEN round(z.r / z.m * 100, 1) END AS spread, round(z.c, 3) AS cv FROM main0),
 bk AS (SELECT target_id, 'p' AS dimension, coalesce(province, 'desconocida') AS bucket, count(*) AS k, median(price) AS md FROM r SEMI JOIN best USING (target_id, currency) WHERE priced AND NOT odd GROUP BY ALL
   UNION ALL SELECT target_id, 's', source_id, count(*), median(price) FROM r SEMI JOIN best USING (target_id, currency) WHERE priced AND NOT odd GROUP BY ALL),
 gap AS (SELECT target_id, dimension, round((max(md) - min(md)) / min(md) * 100, 1) AS gap FROM bk WHERE k >= 3 AND bucket <> 'desconocida' GROUP BY ALL HAVING count(*) >= 2 AND min(md) > 0),
 gaps AS (SELECT target_id, max(gap) FILTER (dimension = 'p') AS geo, max(gap) FILTER (dimension = 's') AS src FROM gap GROUP BY ALL),
 sup AS (SELECT target_id, count(*) AS listing_count, count(*) FILTER (NOT sold_out) AS available, count(DISTINCT seller) AS seller_count, count(*) FILTER (seller IS NULL) AS without_seller, count(DISTINCT source_id) AS source_count FROM r WHERE offered GROUP BY ALL),
-head AS (SELECT target_id, count(*) AS total, count(*) FILTER (in_window) AS observed, count(*) FILTER (first) AS unique_n, count(*) FILTER (priced OR measured) AS valid_n, max(at) FILTER (in_window) AS latest,
+head AS (SELECT target_id, count(*) AS total, count(*) FILTER (in_window) AS observed, count(*) FILTER (first) AS unique_n, count(*) FILTER (priced OR measured) AS valid_n, max(seen_at) FILTER (in_window) AS latest,
   count(*) FILTER (status = 'duplicado') AS duplicates, count(*) FILTER (odd OR unit_odd) AS outliers, count(*) FILTER (first AND NOT in_scope) AS out_of_scope,
   count(*) FILTER (first AND level = 'LOW') AS low, count(*) FILTER (first AND level = 'NO_MATCH') AS no_match,
   count(*) FILTER ((priced OR measured) AND rank >= 3) AS strong, count(*) FILTER ((priced OR measured) AND (odd OR unit_odd)) AS bad FROM r GROUP BY ALL),
@@ -179,7 +173,8 @@ pt AS (WITH s0 AS (SELECT target_id, currency, list(price_median ORDER BY month)
   h AS (SELECT target_id, currency, len(v) AS hn, v[-1] AS last, list_aggregate(v[1:len(v) - 1], 'median') AS md, list_aggregate(v[1:len(v) - 1], 'mad') AS ma FROM v)
   SELECT target_id, currency, k.classification AS price_kind, k.direction AS price_way, coalesce(hn >= 6 AND ma > 0 AND abs(0.6745 * (last - md) / ma) > 3.5, false) AS unusual FROM k JOIN h USING (target_id, currency)),
 done AS (SELECT target_id, month FROM per WHERE complete),
-common AS (SELECT target_id, source_id FROM used SEMI JOIN done USING (target_id, month) GROUP BY ALL HAVING count(DISTINCT month) = (SELECT count(*) FROM done d WHERE d.target_id = used.target_id)),
+common AS (SELECT target_id, source_id FROM (SELECT target_id, source_id, count(DISTINCT month) AS k FROM used SEMI JOIN done USING (target_id, month) GROUP BY ALL)
+  JOIN (SELECT target_id, count(*) AS k FROM done GROUP BY target_id) USING (target_id, k)),
 stable AS (SELECT target_id, month, count(*) AS listings FROM got SEMI JOIN done USING (target_id, month) SEMI JOIN common USING (target_id, source_id) GROUP BY ALL),
 lt AS (WITH s0 AS (SELECT target_id, list(CAST(coalesce(listings, 0) AS DOUBLE) ORDER BY month) AS s FROM done SEMI JOIN common USING (target_id) LEFT JOIN stable USING (target_id, month) GROUP BY target_id),
   {CLASSIFY_SQL.format(keys='target_id', t=20)} SELECT target_id, {CLASSIFIED.format(t=20)} FROM c),
@@ -195,13 +190,13 @@ wd AS (
 ),
 sc AS (SELECT *, CASE WHEN n >= 10 THEN 2 WHEN n >= 5 THEN 1 ELSE 0 END + CASE WHEN source_count >= 2 THEN 1 ELSE 0 END
   + CASE WHEN valid_n > 0 AND strong / valid_n >= 0.8 THEN 1 WHEN valid_n > 0 AND strong / valid_n < 0.5 THEN -1 ELSE 0 END + CASE WHEN valid_n > 0 AND bad / valid_n > 0.2 THEN -1 ELSE 0 END
-  + CASE WHEN freshness = 'ACTUAL' THEN 1 ELSE 0 END - 1 - CASE WHEN geo_difference THEN 1 ELSE 0 END - CASE WHEN source_difference THEN 1 ELSE 0 END AS score,
+  + CASE WHEN freshness = 'ACTUAL' THEN 1 ELSE 0 END - CASE WHEN geo_difference THEN 1 ELSE 0 END - CASE WHEN source_difference THEN 1 ELSE 0 END AS score,
   kind = 'TENDENCIA' AND abs(change) >= 20 AND change > 0 AS up, (kind = 'TENDENCIA' AND abs(change) >= 20 AND change < 0) OR (kind = 'DESAPARICION' AND periods >= 3) AS down FROM wd)"""
 
 
 @query(f"""{WIDE_SQL}
 SELECT target_id, primary_currency, n, price_median, geo_difference, source_difference, listing_count, available_listing_count, seller_count, source_count, total, observed, unique_n, valid_n, duplicates, outliers,
-  out_of_scope, low, no_match, freshness, CAST(score AS INTEGER) AS score, CASE WHEN n < 5 OR freshness = 'ANTIGUA' THEN 'LOW' WHEN score >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, price_kind, price_way,
+  out_of_scope, low, no_match, freshness, CAST(score AS INTEGER) AS score, CASE WHEN n < 5 OR freshness = 'ANTIGUA' THEN 'LOW' WHEN score >= 5 THEN 'HIGH' WHEN score >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, price_kind, price_way,
   kind AS listing_kind, way AS listing_way,
   CASE WHEN listing_count > 0 THEN CASE WHEN seller_count >= 10 THEN 'ALTA' WHEN seller_count <= 2 THEN 'BAJA' ELSE 'MEDIA' END END AS competitive_pressure,
   CASE WHEN cv < 0.1 THEN 'ESTABLE' WHEN cv < 0.25 THEN 'MODERADA' WHEN cv IS NOT NULL THEN 'INESTABLE' END AS price_stability,
@@ -213,7 +208,7 @@ SELECT target_id, primary_currency, n, price_median, geo_difference, source_diff
 def analysis_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a target: header counts, main price, supply, freshness, trends, signals, confidence."""
     return analysis(spark, sf_dir).wide.select(
-        "target_id", "primary_currency", "n", "price_median", "geo_difference", "source_difference", "listing_count", "available_listing_count", "seller_count", "source_count",
+        "target_id", "primary_currency", "n", F.round("price_median", 2).alias("price_median"), "geo_difference", "source_difference", "listing_count", "available_listing_count", "seller_count", "source_count",
         F.col("observation_count_total").alias("total"), F.col("observation_count").alias("observed"), F.col("unique_observation_count").alias("unique_n"), F.col("valid_price_observation_count").alias("valid_n"),
         F.col("duplicates_removed").alias("duplicates"), F.col("outliers_flagged").alias("outliers"), F.col("excluded_out_of_scope").alias("out_of_scope"), F.col("excluded_match_low").alias("low"),
         F.col("excluded_no_match").alias("no_match"), "freshness", F.col("confidence_score").alias("score"), "confidence", F.col("price_trend.classification").alias("price_kind"), F.col("price_trend.direction").alias("price_way"),
@@ -225,8 +220,8 @@ def analysis_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{WIDE_SQL},
 wk AS (SELECT target_id, title, price, currency, count(*) AS k, list(oid ORDER BY oid) AS ids FROM r WHERE first AND price IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
 iss(target_id, code, severity, n) AS (
-  SELECT target_id, 'SIN_TIMESTAMP_CAPTURA', 'ALTA', count(*) FILTER (at IS NULL) FROM r GROUP BY 1
-  UNION ALL SELECT target_id, 'TIMESTAMP_FUTURO', 'ALTA', count(*) FILTER (at IS NOT NULL AND NOT usable) FROM r GROUP BY 1
+  SELECT target_id, 'SIN_TIMESTAMP_CAPTURA', 'ALTA', count(*) FILTER (seen_at IS NULL) FROM r GROUP BY 1
+  UNION ALL SELECT target_id, 'TIMESTAMP_FUTURO', 'ALTA', count(*) FILTER (seen_at IS NOT NULL AND NOT usable) FROM r GROUP BY 1
   UNION ALL SELECT target_id, 'POSIBLE_INYECCION_DE_INSTRUCCIONES', 'MEDIA', count(*) FILTER (injected) FROM r GROUP BY 1
   UNION ALL SELECT target_id, 'DUPLICADOS', 'INFO', count(*) FILTER (status = 'duplicado') FROM r GROUP BY 1
   UNION ALL SELECT target_id, 'POSIBLES_DUPLICADOS', 'BAJA', count(*) FROM wk GROUP BY 1
@@ -245,5 +240,5 @@ one(target_id, code, severity) AS (
 )
 SELECT target_id, code, severity, n FROM iss WHERE n > 0 UNION ALL SELECT target_id, code, severity, NULL FROM one UNION ALL SELECT target_id, 'FUENTE_FALLIDA', 'ALTA', 1 FROM head""")
 def analysis_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every issue of every target with its count."""
-    return analysis(spark, sf_dir).issues.select("target_id", "code", "severity", F.col("count").alias("n"))
+    """Every issue of every target with its count; one of the sources has failed."""
+    return analysis(spark, sf_dir, failed=True).issues.select("target_id", "code", "severity", F.col("count").alias("n"))

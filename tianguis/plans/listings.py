@@ -36,3 +36,17 @@ WITH listings AS (
     l_extendedprice / l_quantity AS price, l_shipdate AS captured_at, p_size, p_name
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 )"""
+
+
+def closure_sql(rows: str, scope: list[str]) -> str:
+    """CTEs that end in ``uniq``: of rows (scope, uid, seen_at) with keys (key, kind) in ``keyed``, each one's component and whether it stays."""
+    s, on = ", ".join(scope), " AND ".join(f"x.{c} = y.{c}" for c in scope)
+    xs = ", ".join(f"x.{c}" for c in scope)
+    return f"""
+firsts AS (SELECT {s}, kind, uid, min(uid) OVER (PARTITION BY {s}, kind, key) AS first FROM keyed),
+lnk AS (SELECT DISTINCT {s}, uid AS a, first AS b, kind FROM firsts WHERE uid > first),
+ways AS (SELECT {s}, a, b FROM lnk UNION SELECT {s}, b, a FROM lnk),
+reach AS (SELECT {s}, a AS uid, a AS r FROM ways UNION SELECT {xs}, x.uid, y.b FROM reach x JOIN ways y ON {on} AND x.r = y.a),
+comp AS (SELECT {s}, uid, min(r) AS part FROM reach GROUP BY ALL),
+uniq AS (SELECT x.*, coalesce(y.part, x.uid) AS part, first_value(x.uid) OVER (PARTITION BY {xs}, coalesce(y.part, x.uid) ORDER BY seen_at DESC, x.uid) AS kept
+  FROM {rows} x LEFT JOIN comp y ON {on} AND x.uid = y.uid)"""

@@ -10,7 +10,7 @@ from tianguis.config import MarketConfig
 from tianguis.functions.text import bind, looks_like_instructions, normalize_text, normalize_url
 from tianguis.functions.units import size_quantity, size_unit, unit_factor
 from tianguis.operators import dedup, matching, rates, signals, stats, temporal
-from tianguis.plans.listings import LISTINGS_SQL, listings, table
+from tianguis.plans.listings import LISTINGS_SQL, closure_sql, listings, table
 from tianguis.schema import TARGET
 
 CFG = MarketConfig()
@@ -152,18 +152,19 @@ def supply_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.supply(rows, ["brand", "province"])
 
 
-def _monthly(spark, sf_dir, granularity="month"):
-    rows = listings(spark, sf_dir).withColumn("period", temporal.period_start(F.col("captured_at"), granularity))
-    median = F.when(F.count("price") >= CFG.min_obs_per_period, F.median("price"))
-    return rows.groupBy("brand", "currency", "period").agg(F.count("*").alias("n"), F.round(median, 9).alias("price_median"))
+def _period_medians(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, n, price_median)``; too few prices have no median."""
+    counts = stats.counted(rows, keys, "price")
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    out = sizes.join(stats.quantiles(counts, keys, {"m": 0.5}), keys)
+    return out.select(*keys, "n", F.when(F.col("n") >= CFG.min_obs_per_period, F.round("m", 9)).alias("price_median"))
 
 
 @query(f"""{LISTINGS_SQL} SELECT currency, CAST(date_trunc('week', captured_at) AS TIMESTAMP) AS period, count(*) AS n,
   CASE WHEN count(*) >= 3 THEN round(median(price), 9) END AS price_median FROM listings GROUP BY 1, 2""")
 def weekly_median_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = listings(spark, sf_dir).withColumn("period", temporal.period_start(F.col("captured_at"), "week"))
-    median = F.when(F.count("price") >= CFG.min_obs_per_period, F.median("price"))
-    return rows.groupBy("currency", "period").agg(F.count("*").alias("n"), F.round(median, 9).alias("price_median"))
+    return _period_medians(rows, ["currency", "period"])
 
 
 @query(f"""{LISTINGS_SQL} SELECT CAST(date_trunc('month', captured_at) AS TIMESTAMP) AS period_start, CAST(date_trunc('month', captured_at) + INTERVAL 1 MONTH AS TIMESTAMP) AS period_end,
@@ -213,9 +214,7 @@ SERIES_SQL = f"""{LISTINGS_SQL}, q AS (
 
 def _quarterly(spark, sf_dir):
     rows = listings(spark, sf_dir).withColumn("period", F.date_trunc("quarter", "captured_at"))
-    median = F.when(F.count("price") >= CFG.min_obs_per_period, F.round(F.median("price"), 9))
-    periods = rows.groupBy("brand", "currency", "period").agg(median.alias("m"))
-    return temporal.series(periods, ["brand", "currency"], "period", "m")
+    return temporal.series(_period_medians(rows, ["brand", "currency", "period"]), ["brand", "currency"], "period", "price_median")
 
 
 @query(f"{SERIES_SQL}{CLASSIFY_SQL.format(keys='brand, currency', t=10)} SELECT brand, currency, {CLASSIFIED.format(t=10)} FROM c")
@@ -303,7 +302,8 @@ SELECT brand, currency, list_filter([CASE WHEN n >= 4 AND (price_spread_pct >= 5
 FROM w JOIN t USING (brand, currency)""")
 def signals_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = listings(spark, sf_dir)
-    wide = rows.groupBy("brand", "currency").agg(*stats.summary_columns(F.col("price")), F.countDistinct("seller").alias("seller_count"))
+    sellers = rows.groupBy("brand", "currency").agg(F.countDistinct("seller").alias("seller_count"))
+    wide = stats.price_summary(rows, ["brand", "currency"]).join(sellers, ["brand", "currency"])
     trend = _quarterly(spark, sf_dir).withColumn("price_trend", temporal.classify(F.col("series"), CFG.price_change_threshold_pct, CFG.min_trend_periods)).drop("series")
     none = temporal.classify(F.array().cast("array<double>"), CFG.supply_change_threshold_pct)
     full = wide.join(trend, ["brand", "currency"]).withColumns({"listing_trend": none, "listings_without_seller": F.lit(0), "unusual": F.lit(None).cast("double")})
@@ -358,12 +358,23 @@ def strong_dedup_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.deduplicate(rows, ["scope"]).select(F.col("row_uid").alias("page_id"), "canonical_uid", "is_canonical")
 
 
-@query()
+CLOSURE_SQL = f"""{LISTINGS_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)},
+rows AS (SELECT 0 AS scope, ((l_orderkey * 8 + l_linenumber) * 20000 + l_partkey) * 1000 + l_suppkey AS uid, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS oid,
+  captured_at AS seen_at, source_id, l_orderkey, lower(seller) AS seller, title, price, currency FROM listings),
+keyed AS (SELECT scope, uid, 1 AS kind, source_id || '|' || l_orderkey AS key FROM rows UNION ALL SELECT scope, uid, 3, concat_ws('|', seller, title, CAST(price AS VARCHAR), currency) FROM rows),
+{closure_sql('rows', ['scope'])},
+why AS (SELECT a AS uid, list(DISTINCT CASE kind WHEN 1 THEN '{dedup.REASONS[1]}' ELSE '{dedup.REASONS[3]}' END) AS why FROM lnk GROUP BY a)
+SELECT u.uid AS row_uid, u.uid = u.kept AS is_canonical, u.kept AS canonical_uid, k.oid AS canonical_id,
+  CASE WHEN u.uid = u.kept THEN [] WHEN len(list_concat(coalesce(a.why, []), coalesce(b.why, []))) > 0 THEN list_sort(list_distinct(list_concat(coalesce(a.why, []), coalesce(b.why, [])))) ELSE ['{dedup.BY_CHAIN}'] END AS duplicate_reasons
+FROM uniq u JOIN rows k ON k.uid = u.kept LEFT JOIN why a ON a.uid = u.uid LEFT JOIN why b ON b.uid = u.kept"""
+
+
+@query(CLOSURE_SQL)
 def strong_dedup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings by source and order, and by seller, text, price and currency; chains across both."""
     none = F.lit(None).cast("string")
     rows = listings(spark, sf_dir).select(
-        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price", "captured_at").alias("row_uid"), F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("observation_id"),
+        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 20000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")).alias("row_uid"), F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("observation_id"),
         "captured_at", none.alias("url_norm"), F.col("l_orderkey").cast("string").alias("listing_id"), "source_id", none.alias("image_id"), F.lower("seller").alias("seller_norm"),
         F.col("title").alias("title_norm"), "price", F.col("currency").alias("currency_norm"), F.lit(0).alias("scope"),
     )
