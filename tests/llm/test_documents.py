@@ -7,6 +7,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,6 +253,22 @@ def test_lines_of_repeated_and_null_ids(spark):
     assert sorted((x.doc_id or 0, x.text or "") for x in out) == sorted([(0, line), (1, prose(20, 2)), (0, "")])
 
 
+def test_buckets_are_found_in_any_order_and_at_any_chunk(monkeypatch):
+    r = np.random.default_rng(0)
+    for _ in range(100):
+        n = int(r.integers(0, 60))
+        key, own = r.integers(0, 12, n), r.integers(0, 15, n)
+        monkeypatch.setattr(line_dedup, "ORDERED", int(r.integers(1, 30)))
+        parts = np.split(np.arange(n), np.sort(r.integers(0, n + 1, 5)))
+        given = [pa.RecordBatch.from_arrays([pa.array(own[p]), pa.array(key[p])], names=["id", "key"]) for p in parts]
+        got, pivots = {}, {}
+        for k, i, p in (x for b in line_dedup._met(iter(given)) for x in zip(*(c.to_pylist() for c in b.columns))):
+            got.setdefault(k, set()).add(i)
+            assert pivots.setdefault(k, p) == p
+        want = {k: set(own[key == k].tolist()) for k in set(key.tolist())}
+        assert got == {k: v for k, v in want.items() if len(v) > 1} and all(pivots[k] in v for k, v in got.items())
+
+
 def test_every_character_of_a_line_counts(spark, tmp_path):
     texts = ["https://example.com/a", "https://news.invalid/other", "春眠不覚暁処処聞啼鳥夜来風雨声", "春眠不覚暁処処聞百花斉放万物生", "Order 1234567890123", "Order 1234567899999", "abc", "abd"]
     texts.append(texts[0])

@@ -58,10 +58,13 @@ def sketched(items: np.ndarray, owner: np.ndarray, count: int, bins: int) -> np.
     for r in range(2 * bins):
         if not len(items):
             break
-        h = mix(items + np.uint64((r * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) % (1 << 64)))
+        # the items are hashes, so that the first round can take them as they are
+        h = mix(items + np.uint64(r * 0xD1342543DE82EF95 % (1 << 64))) if r else items
         where = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32) if r < bins else np.uint64(r - bins)
         # the bin follows from the uppermost bits, the value from those below
-        value = np.uint64(r << 48) | (h & np.uint64((1 << 48) - 1))
+        value = h & np.uint64((1 << 48) - 1)
+        if r:
+            value |= np.uint64(r << 48)
         np.minimum.at(flat, owner * bins + where.astype(np.int64) if r < bins else owner * bins + (r - bins), value)
         unfilled = (out == _EMPTY).any(axis=1)
         rest = unfilled[owner]
