@@ -55,7 +55,7 @@ class MultiIndex:
         self.visits = 1
         # partners at the threshold, in random directions
         rng = np.random.default_rng(11)
-        x = sample[rng.choice(len(sample), min(2000, len(sample)), replace=False)]
+        x = sample[rng.integers(0, len(sample), 2000)]
         away = rng.normal(size=x.shape)
         away -= (away * x).sum(1, keepdims=True) * x
         away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
@@ -172,14 +172,14 @@ def _valid(v):
 
 
 def fit(classes: DataFrame, dim: int, count: int, threshold: float) -> MultiIndex | None:
-    """Codebooks on at most SAMPLE_ROWS vectors and SAMPLE_VALUES numbers, drawn by hash."""
+    """Codebooks on at most SAMPLE_ROWS vectors and SAMPLE_VALUES numbers, drawn by hash; few vectors share one cell."""
     rows = max(2, min(SAMPLE_ROWS, SAMPLE_VALUES // max(1, dim)))
     drawn = classes.where(F.shiftrightunsigned(F.xxhash64("rep", F.lit("codebook")), 11).cast("double") / float(1 << 53) < rows / max(1, count))
     sample = [r["v"] for r in drawn.select("v").limit(2 * rows).collect()]
     if not sample:
         sample = [r["v"] for r in classes.select("v").limit(1).collect()]
     x = np.array(sample, dtype=np.float64).reshape(len(sample), dim)
-    return MultiIndex(x / np.linalg.norm(x, axis=1, keepdims=True), min(512, max(8, int(count**0.5 / 4))), threshold)
+    return MultiIndex(x / np.linalg.norm(x, axis=1, keepdims=True), min(512, max(1, int(count**0.5 / 4))), threshold)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:

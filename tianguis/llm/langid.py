@@ -229,11 +229,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without the rows that language identification rejects, with all its columns."""
+    """``docs`` without the rows that language identification rejects, with all its columns, whatever they are named."""
     model = train(train_fold(docs))
     shared = spark.sparkContext.broadcast(model)
     names = docs.columns
-    whole = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct(*names).alias("_row"))
+    whole = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     kinds = whole.schema["_row"].dataType.simpleString()
     out = whole.mapInArrow(_predicted(shared), f"_id long, _row {kinds}, lang_pred string, score double, rejected boolean")
     return out.where(~F.col("rejected")).select(*[F.col("_row")[c].alias(c) for c in names])

@@ -309,5 +309,5 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     kinds = [k for k, *_ in KINDS]
     base = _joined(F.concat(*kinds))
-    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in kinds]
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in [*kinds, "secret"]]
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), _joined(F.concat(*kinds, "secret")).alias("spans"))
