@@ -19,7 +19,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     item, part, supplier, nation = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier", "nation"))
     joined = item.join(part, item.l_partkey == part.p_partkey).join(supplier, item.l_suppkey == supplier.s_suppkey).join(nation, supplier.s_nationkey == nation.n_nationkey)
     return joined.select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         F.lower("l_returnflag").alias("source_id"), F.when(F.col("l_linestatus") == "O", "CUP").otherwise("USD").alias("currency"),
         F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" ml")).alias("title"), F.col("p_brand").alias("brand"),
         F.col("s_name").alias("seller"), F.col("n_name").alias("province"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
@@ -30,7 +30,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same in SQL, to stand before a query's own parts.
 LISTINGS_SQL = """
 WITH listings AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, lower(l_returnflag) AS source_id,
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, lower(l_returnflag) AS source_id,
     CASE WHEN l_linestatus = 'O' THEN 'CUP' ELSE 'USD' END AS currency,
     p_name || ' ' || CAST(p_size AS VARCHAR) || ' ml' AS title, p_brand AS brand, s_name AS seller, n_name AS province,
     l_extendedprice / l_quantity AS price, l_shipdate AS captured_at, p_size, p_name

@@ -359,7 +359,7 @@ def strong_dedup_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLOSURE_SQL = f"""{LISTINGS_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)},
-rows AS (SELECT 0 AS scope, ((l_orderkey * 8 + l_linenumber) * 20000 + l_partkey) * 1000 + l_suppkey AS uid, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS oid,
+rows AS (SELECT 0 AS scope, (((l_orderkey * 8 + l_linenumber) * 20000 + l_partkey) * 1000 + l_suppkey) * 64 + CAST(l_quantity AS BIGINT) AS uid, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS oid,
   captured_at AS seen_at, source_id, l_orderkey, lower(seller) AS seller, title, price, currency FROM listings),
 keyed AS (SELECT scope, uid, 1 AS kind, source_id || '|' || l_orderkey AS key FROM rows UNION ALL SELECT scope, uid, 3, concat_ws('|', seller, title, CAST(price AS VARCHAR), currency) FROM rows),
 {closure_sql('rows', ['scope'])},
@@ -374,7 +374,7 @@ def strong_dedup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings by source and order, and by seller, text, price and currency; chains across both."""
     none = F.lit(None).cast("string")
     rows = listings(spark, sf_dir).select(
-        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 20000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")).alias("row_uid"), F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("observation_id"),
+        ((((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 20000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")) * 64 + F.col("l_quantity").cast("long")).alias("row_uid"), F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("observation_id"),
         "captured_at", none.alias("url_norm"), F.col("l_orderkey").cast("string").alias("listing_id"), "source_id", none.alias("image_id"), F.lower("seller").alias("seller_norm"),
         F.col("title").alias("title_norm"), "price", F.col("currency").alias("currency_norm"), F.lit(0).alias("scope"),
     )
