@@ -46,3 +46,18 @@ def test_tokens(spark):
     got = spark.createDataFrame([("Galletas de chocolate 6x 1.5l 24 x 330ml, tipo-A del Mar", )], "x string").select(tokens(F.col("x")).alias("t")).first().t
     assert got == ["galleta", "chocolate", "mar"]
     assert spark.range(1).select(tokens(F.lit(None).cast("string")).alias("t")).first().t == []
+
+
+def test_a_small_index_goes_to_the_observations(spark, observations, targets, monkeypatch):
+    """Pairs come without a shuffle of observations, each once, and equal those by shuffle."""
+    from tianguis.operators import matching
+
+    t = prepare_targets(targets(OIL, COLA, {**OIL, "brand": None}, {"name": "aceite cola ole", "quantity": None, "unit": None}))
+    o = prepare_observations(observations([listing(0), listing(1, title="Refresco cola Coca-Cola cola 330 ml", brand="Ole"), listing(2, title="Ventilador"), listing(3, title=None), listing(4, title="cola de aceite ole ole")]))
+    near = pairs(t, o)
+    assert "Exchange hashpartitioning" not in near._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(matching, "INDEXED", -1)
+    far = pairs(t, o)
+    shown = sorted(far.columns)
+    assert sorted(near.columns) == shown and near.count() > 8
+    assert sorted(map(str, near.select(*shown).collect())) == sorted(map(str, far.select(*shown).collect()))

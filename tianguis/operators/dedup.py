@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tianguis.operators.components import connected_components, durable
+from tianguis.operators.components import Scratch, connected_components, durable
 
 # Why two rows are the same listing.
 REASONS = ["misma URL", "mismo identificador de anuncio", "misma imagen y vendedor", "mismo vendedor, texto, precio y moneda (publicación replicada)"]
@@ -37,13 +37,15 @@ def strong_keys(seller: str = "seller_norm") -> Column:
     )
 
 
-def deduplicate(rows: DataFrame, scope: list[str]) -> DataFrame:
+def deduplicate(rows: DataFrame, scope: list[str], scratch: Scratch | None = None) -> DataFrame:
     """``(*scope, row_uid, is_canonical, canonical_uid, canonical_id, duplicate_reasons)`` of prepared rows.
 
     Each scope (say target and period) is on its own, all in one pass. The latest capture of
-    a component stays, of equal ones the smallest ``row_uid``, which is unique in a scope.
+    a component stays, of equal ones the smallest ``row_uid``, which is unique in a scope. The
+    result reads a table in ``scratch`` where that is given, else it is cut from its steps.
     """
-    slim = durable(
+    here = scratch or Scratch(rows.sparkSession)
+    slim = here.keep(
         rows.select(*scope, "row_uid", "observation_id", "captured_at", strong_keys().alias("keys")).withColumn("node", F.monotonically_increasing_id())
     )
     keyed = slim.select(*scope, "row_uid", "node", F.explode("keys").alias("key")).select("*", "key.kind", "key.parts").drop("key")
@@ -60,10 +62,14 @@ def deduplicate(rows: DataFrame, scope: list[str]) -> DataFrame:
     none = F.array().cast("array<string>")
     reasons = F.array_sort(F.array_union(F.coalesce("why", none), F.coalesce("kept.why", none)))
     is_kept = F.col("row_uid") == F.col("kept.row_uid")
-    return full.join(kept, "part").select(
+    out = full.join(kept, "part").select(
         *scope, "row_uid", is_kept.alias("is_canonical"), F.col("kept.row_uid").alias("canonical_uid"), F.col("kept.observation_id").alias("canonical_id"),
         F.when(is_kept, none).when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit(BY_CHAIN))).alias("duplicate_reasons"),
     )
+    if scratch is None:
+        out = durable(out)
+        here.drop()
+    return out
 
 
 def weak_duplicates(unique: DataFrame, scope: list[str], columns: list[str] | None = None, id_col: str = "observation_id") -> DataFrame:

@@ -72,6 +72,10 @@ def prepare_targets(targets: DataFrame) -> DataFrame:
     )
 
 
+#: Tokens of targets that are broadcast, at most; beyond that the index is joined by shuffle.
+INDEXED = 20_000
+
+
 def pairs(targets: DataFrame, obs: DataFrame, prefilter: bool = True, max_targets: int = 1000) -> DataFrame:
     """Prepared targets joined with prepared observations.
 
@@ -84,7 +88,14 @@ def pairs(targets: DataFrame, obs: DataFrame, prefilter: bool = True, max_target
         if few > max_targets:
             raise ValueError(f"more than {max_targets} targets need the prefilter")
         return obs.join(F.broadcast(targets), F.lit(True))
-    wanted = targets.select("target_id", F.explode(F.array_union("t_tokens", "t_brand_tokens")).alias("token"))
+    named = F.array_union("t_tokens", "t_brand_tokens")
+    if targets.select(F.size(named).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= INDEXED:
+        # a small index goes to the observations, which stay where they are; the first token that both have makes the pair
+        index = targets.select("*", named.alias("_named"), F.explode(named).alias("_token"))
+        each = obs.select("*", F.explode(F.array_distinct("tokens")).alias("_own"))
+        found = each.join(F.broadcast(index), F.col("_own") == F.col("_token"))
+        return found.where(F.get(F.array_intersect("tokens", "_named"), F.lit(0)) == F.col("_own")).drop("_own", "_token", "_named")
+    wanted = targets.select("target_id", F.explode(named).alias("token"))
     found = obs.select("row_uid", F.explode("tokens").alias("token")).join(wanted, "token").select("target_id", "row_uid").distinct()
     return obs.join(found, "row_uid").join(targets, "target_id")
 

@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tianguis.operators.components import durable
+
 # The outlier rule's constants.
 Z_SCALE, Z_LIMIT, MAD_FLOOR, FENCE, RATIO = 0.6745, 3.5, 0.05, 3.0, 3.0
 
 
 #: Lots an octave of values has.
 LOTS = 256
+#: Groups whose figures are broadcast, at most.
+FEW = 100_000
 
 
 def _lot(v: Column) -> Column:
@@ -89,12 +93,13 @@ def price_summary(rows: DataFrame, keys: list[str], value: str = "price") -> Dat
     )
 
 
-def outliers(rows: DataFrame, keys: list[str], value: str = "price", name: str = "outlier") -> DataFrame:
+def outliers(rows: DataFrame, keys: list[str], value: str = "price", name: str = "outlier", first: bool = False) -> DataFrame:
     """Adds ``{name}_method`` and ``{name}``, a struct (direction, method, score) or null.
 
     Groups under 3 are not judged. From 5 on: the modified z-score, its MAD at least 5 % of
     the median, or fences of 3 quartile ranges where the MAD is 0. Between: the ratio to the
-    median. Rows with a null value are not judged and keep a null.
+    median. Rows with a null value are not judged and keep a null. With ``first`` the groups'
+    figures are worked out at once and, up to FEW groups, go to the rows, which stay where they are.
     """
     v = F.col(value)
     # all figures come from how often a group has a value, rows are only joined to them at the end
@@ -102,6 +107,9 @@ def outliers(rows: DataFrame, keys: list[str], value: str = "price", name: str =
     centre = _beside(counts.groupBy(*keys).agg(F.sum("_c").alias("_n")), quantiles(counts, keys, {"_med": 0.5, "_q1": 0.25, "_q3": 0.75}), keys)
     away = _beside(counts, centre.select(*keys, "_med"), keys).groupBy(*keys, F.abs(F.col("_v") - F.col("_med")).alias("_v")).agg(F.sum("_c").alias("_c"))
     figures = _beside(centre, quantiles(away, keys, {"_mad": 0.5}), keys).select(*[F.col(k).alias("_k_" + k) for k in keys], "_n", "_med", "_q1", "_q3", "_mad")
+    if first:
+        figures = durable(figures)
+        figures = F.broadcast(figures) if figures.count() <= FEW else figures
     out = rows.join(figures, _on(keys), "left")
     n, med, mad, q1, q3 = (F.col(c) for c in ("_n", "_med", "_mad", "_q1", "_q3"))
     iqr = q3 - q1

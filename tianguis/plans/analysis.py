@@ -16,7 +16,7 @@ from tianguis.config import MarketConfig
 from tianguis.functions.numbers import rounded, short_number
 from tianguis.functions.units import known
 from tianguis.operators import dedup, rates, signals, stats, temporal
-from tianguis.operators.components import durable
+from tianguis.operators.components import Scratch, durable
 from tianguis.operators.matching import RANK, match, pairs, prepare_observations, prepare_targets, relevant
 
 ENGINE = "1.0.0"
@@ -59,12 +59,24 @@ def window_start(end: Column, granularity: str) -> Column:
     return end - (temporal.period_end(start, granularity) - start)
 
 
-def records(targets: DataFrame, obs: DataFrame, cfg: MarketConfig, start: Column, end: Column, now: Column, prefilter: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Every pair of target and capture with its state, and the weak duplicate groups of the window."""
+# What later steps read of a record besides its state; the rest is for the trace.
+READ = (
+    "target_id row_uid observation_id source_id source_name title_norm seller_norm province_norm availability_norm price currency_norm price_valid unit_price presentation "
+    "presentation_status match_rank match_level injected captured_at published_at usable in_window time_reason period"
+).split()
+
+
+def records(targets: DataFrame, obs: DataFrame, cfg: MarketConfig, start: Column, end: Column, now: Column, prefilter: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every pair of target and capture with its state; these without what only the trace shows; the weak duplicate groups of the window.
+
+    Pairs are written once as a compressed table, whole, and never shuffled whole: states are
+    worked out on the columns in READ and joined to the others where a reader asks for them.
+    """
     matched = match(pairs(prepare_targets(targets), prepare_observations(obs), prefilter))
     matched = relevant(matched) if prefilter else matched
     at, late = F.col("captured_at"), F.col("captured_at") > now + F.make_dt_interval(mins=F.lit(cfg.clock_tolerance_minutes))
-    placed = durable(
+    held, steps = Scratch(obs.sparkSession), Scratch(obs.sparkSession)
+    placed = held.keep(
         matched.withColumns(
             {
                 "usable": at.isNotNull() & ~late,
@@ -76,21 +88,29 @@ def records(targets: DataFrame, obs: DataFrame, cfg: MarketConfig, start: Column
     )
     # the window and every period are scopes of their own, all in one pass
     scopes = placed.select("*", F.explode(F.array_compact(F.array(F.when(F.col("in_window"), F.lit("window")), F.date_format("period", "yyyy-MM-dd")))).alias("scope"))
-    unique = durable(dedup.deduplicate(scopes, ["target_id", "scope"]))
-    inside = unique.where("scope = 'window'").select("target_id", "row_uid", F.col("is_canonical").alias("in_unique"), F.col("canonical_id").alias("duplicate_of"), "duplicate_reasons")
-    by_period = unique.where("scope != 'window'").select("target_id", "row_uid", F.col("is_canonical").alias("period_unique"))
-    r = placed.join(inside, ["target_id", "row_uid"], "left").join(by_period, ["target_id", "row_uid"], "left")
+    unique = dedup.deduplicate(scopes, ["target_id", "scope"], steps)
+    inside = F.col("scope") == "window"
+
+    def of_window(column: str) -> Column:
+        return F.first(F.when(inside, F.col(column)), ignorenulls=True)
+
+    unique = unique.groupBy("target_id", "row_uid").agg(
+        of_window("is_canonical").alias("in_unique"), of_window("canonical_id").alias("duplicate_of"), of_window("duplicate_reasons").alias("duplicate_reasons"),
+        F.first(F.when(~inside, F.col("is_canonical")), ignorenulls=True).alias("period_unique"),
+    )
+    outside = (F.size("t_provinces") > 0) & ~F.coalesce(F.array_contains("t_provinces", F.col("province_norm")), F.lit(False))
+    measured = known(F.col("presentation")) & (~known(F.col("t_presentation")) | (F.col("presentation.dimension") == F.col("t_presentation.dimension")))
+    r = steps.keep(placed.select(*READ, outside.alias("_outside"), measured.alias("_measured")).join(unique, ["target_id", "row_uid"], "left"))
     r = r.withColumns({"in_unique": F.coalesce("in_unique", F.lit(False)), "period_unique": F.coalesce("period_unique", F.lit(False))})
     first = F.col("in_unique")
     weak = F.col("match_rank") < RANK["MEDIUM"]
-    outside = (F.size("t_provinces") > 0) & ~F.coalesce(F.array_contains("t_provinces", F.col("province_norm")), F.lit(False))
+    outside = F.col("_outside")
     offered = first & ~weak & ~outside
     priced = offered & F.col("price_valid") & F.col("currency_norm").isNotNull() & (F.col("match_rank") >= RANK["MEDIUM" if cfg.include_medium_matches else "HIGH"])
     fits = F.col("presentation_status").isin("MISMA", "NO_ESPECIFICADA")
-    measured = known(F.col("presentation")) & (~known(F.col("t_presentation")) | (F.col("presentation.dimension") == F.col("t_presentation.dimension")))
     r = r.withColumns(
         {
-            "weak_match": first & weak, "out_of_scope": first & outside, "in_scope": ~outside, "in_supply": offered, "in_price_stats": priced & fits, "in_unit_price_stats": priced & measured,
+            "weak_match": first & weak, "out_of_scope": first & outside, "in_scope": ~outside, "in_supply": offered, "in_price_stats": priced & fits, "in_unit_price_stats": priced & F.col("_measured"),
             "exclusion_reasons": F.array_compact(
                 F.array(
                     F.col("time_reason"), F.when(first & weak, F.concat(F.lit("coincidencia "), F.col("match_level"))),
@@ -108,11 +128,13 @@ def records(targets: DataFrame, obs: DataFrame, cfg: MarketConfig, start: Column
     r = r.withColumns({"status": state, "duplicate_of": F.when(dropped, F.col("duplicate_of")), "duplicate_reasons": F.when(dropped, F.col("duplicate_reasons")).otherwise(F.array().cast("array<string>"))})
     r = r.withColumns({"_p": F.when(F.col("in_price_stats"), F.col("price")), "_u": F.when(F.col("in_unit_price_stats"), F.col("unit_price")), "_pc": F.when(F.col("in_price_stats"), F.col("currency_norm")),
                        "_uc": F.when(F.col("in_unit_price_stats"), F.col("currency_norm")), "_ud": F.when(F.col("in_unit_price_stats"), F.col("presentation.dimension"))})
-    r = stats.outliers(r, ["target_id", "_pc"], "_p", "outlier")
-    r = stats.outliers(r, ["target_id", "_uc", "_ud"], "_u", "unit_outlier").drop("_p", "_u", "_pc", "_uc", "_ud")
+    r = stats.outliers(r, ["target_id", "_pc"], "_p", "outlier", first=True)
+    r = stats.outliers(r, ["target_id", "_uc", "_ud"], "_u", "unit_outlier", first=True).drop("_p", "_u", "_pc", "_uc", "_ud", "_outside", "_measured")
     r = r.withColumns({"used_in_price_stats": F.col("in_price_stats") & F.col("outlier").isNull(), "used_in_unit_price_stats": F.col("in_unit_price_stats") & F.col("unit_outlier").isNull()})
-    r = durable(r)
-    return r, dedup.weak_duplicates(r.where("in_unique"), T)
+    r = held.keep(r)
+    steps.drop()
+    whole = placed.drop(*[c for c in READ if c not in ("target_id", "row_uid")]).join(r, ["target_id", "row_uid"])
+    return whole, r, dedup.weak_duplicates(r.where("in_unique"), T)
 
 
 def _round_summary(df: DataFrame, digits: int) -> DataFrame:
@@ -241,7 +263,7 @@ def analyze(
     now = _ts(now if now is not None else analysis_end)
     start = _ts(analysis_start) if analysis_start is not None else window_start(end, cfg.granularity)
     prepared = durable(prepare_targets(targets))
-    r, weak = records(targets, observations, cfg, start, end, now, prefilter)
+    whole, r, weak = records(targets, observations, cfg, start, end, now, prefilter)
     prices, unit, parts = (durable(t) for t in price_tables(r))
     best = prices.groupBy("target_id").agg(F.min(F.struct((-F.col("group_n")).alias("n"), F.col("currency_norm").alias("c"))).alias("b")).select("target_id", F.col("b.c").alias("primary_currency"))
     main = prices.join(best, (prices.target_id == best.target_id) & (prices.currency_norm == best.primary_currency)).drop(best.target_id)
@@ -328,7 +350,7 @@ def analyze(
         noted(15, "FUENTES_INSUFICIENTES", "MEDIA", F.col("source_count") == 1), noted(16, "DATOS_ANTIGUOS", "ALTA", F.col("freshness") == "ANTIGUA"), noted(16, "DATOS_ANTIGUOS", "MEDIA", F.col("freshness") == "ENVEJECIDA"),
     ):
         found = found.unionByName(extra)
-    return Analysis(prepared, r, weak, prices, unit, parts, gaps, converted, supply, held, counts, periods, price_trends, supply_trends, sources, found, wide)
+    return Analysis(prepared, whole, weak, prices, unit, parts, gaps, converted, supply, held, counts, periods, price_trends, supply_trends, sources, found, wide)
 
 
 SUMMARY = ["price_min", "price_max", "price_mean", "price_median", "price_range", "price_spread_pct", "p25", "p75", "iqr", "coefficient_of_variation"]
