@@ -154,6 +154,16 @@ def test_more_sources_than_places(spark, monkeypatch):
         assert min(quarters) > 0.1 * sum(quarters)
 
 
+def test_every_source_has_its_own_schedule_however_many(spark, monkeypatch):
+    sizes = {f"h{k:03}": 1 + k % 5 + 40 * (k % 50 == 0) for k in range(300)}
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string").repartition(3)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 8)
+    got = mixing.mix_sources(df, block=4).orderBy("mix_position").collect()
+    plan = [(s, k + p["before"][s] - 1, p["slot"] + release) for p in mixing.phases({s: -(-n // 4) for s, n in sizes.items()}, {s: n**0.5 for s, n in sizes.items()}) for s, k, release, _ in p["plan"]]
+    assert all(plan[r.mix_slot] == (r.source, r.mix_block, r.mix_release) for r in got)
+    assert [r.mix_position for r in got] == list(range(sum(sizes.values()))) and Counter(r.source for r in got) == sizes
+
+
 def test_blocks_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCKS", 10)
     rows = mixing.mix_sources(spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"))).collect()

@@ -7,18 +7,20 @@ fractions, so that at no slot is a source a whole block from its weight. When a
 blocks left, the others go on with their weights scaled up.
 
 The phases between the ends of sources and the blocks' slots follow from the block counts
-alone. They are worked out on the driver from one number a source, in time and memory by the
-number of blocks, which is bounded: a block has BLOCK rows, or more where there would be over
-BLOCKS of them. Of more than MAX_SOURCES sources the smallest share one place in the schedule,
-with all their weight, in which their rows are spread evenly. Rows are ranked within their
-place and joined to the blocks in parallel.
+alone. They are worked out on the driver from one number a source, in memory by the number of
+blocks and in time by that and the logarithm of the sources: a block has BLOCK rows, or more
+where there would be over BLOCKS of them, and every source has one at least. However many they
+are, each source has its own blocks in the schedule. Rows are ranked within their source and
+joined to the blocks in parallel.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
@@ -29,9 +31,8 @@ from tianguis.llm.tables import table
 from tianguis.operators.components import durable
 
 BLOCK, BLOCKS = 32, 200_000
+#: Sources whose slices are broadcast to the rows; those of more are joined by shuffle.
 MAX_SOURCES = 1000
-#: Name of the place that the smallest of too many sources share.
-REST = "\0"
 #: Rows that one ranking task holds, about, and slices of a source at most.
 SLICE, SLICES = 2_000, 100_000
 
@@ -43,45 +44,110 @@ def phases(blocks: dict, weights: dict) -> list[dict]:
     """The phases between the ends of sources: first slot, length, blocks done before and taken, and the plan.
 
     ``plan`` has, slot by slot of the phase, (source, k, release, deadline); k counts a
-    source's blocks of the phase from 1.
+    source's blocks of the phase from 1. ``before`` and ``taken`` name the plan's sources.
     """
+    return list(_phases(blocks, weights))
+
+
+def _phases(blocks: dict, weights: dict) -> Iterator[dict]:
     left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    out, slot = [], 0
+    if not left:
+        return
+    exact = {s: Fraction(weights[s]) for s in left}
+    scale = math.lcm(*[w.denominator for w in exact.values()])
+    parts = {s: w.numerator * (scale // w.denominator) for s, w in exact.items()}
+    done, total, slot, waiting = dict.fromkeys(left, 0), sum(parts.values()), 0, _Waiting(parts)
     while left:
-        exact = {s: Fraction(weights[s]) for s in left}
-        scale = math.lcm(*[w.denominator for w in exact.values()])
-        parts = {s: int(w * scale) for s, w in exact.items()}
-        plan = _earliest_deadlines(parts, left)
+        plan = _earliest_deadlines(parts, left, total, waiting)
         taken = Counter(s for s, *_ in plan)
-        out.append({"slot": slot, "length": len(plan), "before": {s: done[s] for s in left}, "taken": dict(taken), "plan": plan})
+        yield {"slot": slot, "length": len(plan), "before": {s: done[s] for s in taken}, "taken": dict(taken), "plan": plan}
         slot += len(plan)
         for s, n in taken.items():
             done[s] += n
             left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-    return out
+            if left[s]:
+                waiting.add(s)
+            else:
+                total -= parts[s]
+                del left[s]
 
 
-def _earliest_deadlines(parts: dict, left: dict) -> list[tuple]:
-    """``(source, k, release, deadline)`` by slot, until the first source has run all its blocks."""
-    total = sum(parts.values())
+class _Waiting:
+    """Sources whose first block of a phase has not run: ``first`` finds the earliest deadline among them, by name where several have it.
 
-    def block(s, k):
-        return (-(-k * total // parts[s]), str(s), k, s)
+    Sources stand by their share, so that those of one deadline are neighbours; a tree of minima
+    over the names finds the first of them. A phase only touches what it runs, so that many
+    short phases of many sources take no more time than one long one.
+    """
 
-    waiting = [(0, block(s, 1)) for s in parts]
-    heapq.heapify(waiting)
+    def __init__(self, parts: dict):
+        self.sources = sorted(parts, key=lambda s: -parts[s])
+        self.falling = [-parts[s] for s in self.sources]
+        self.at = {s: i for i, s in enumerate(self.sources)}
+        self.names = sorted(parts, key=str)
+        self.rank = {s: i for i, s in enumerate(self.names)}
+        self.none, self.size = len(parts), 1 << (len(parts) - 1).bit_length()
+        self.least = [self.none] * self.size + [self.rank[s] for s in self.sources] + [self.none] * (self.size - len(parts))
+        for i in range(self.size - 1, 0, -1):
+            self.least[i] = min(self.least[2 * i], self.least[2 * i + 1])
+
+    def _put(self, s, rank: int) -> None:
+        i = self.at[s] + self.size
+        self.least[i] = rank
+        while i > 1:
+            i >>= 1
+            self.least[i] = min(self.least[2 * i], self.least[2 * i + 1])
+
+    def add(self, s) -> None:
+        self._put(s, self.rank[s])
+
+    def remove(self, s) -> None:
+        self._put(s, self.none)
+
+    def first(self, total: int) -> tuple | None:
+        """``(deadline, name, k, source)``, or None where no source is left."""
+        if self.least[1] == self.none:
+            return None
+        i = 1
+        while i < self.size:  # the largest share
+            i = 2 * i if self.least[2 * i] < self.none else 2 * i + 1
+        deadline = -(total // self.falling[i - self.size])
+        # all whose share is large enough for this deadline stand before this end
+        low, high, best = i, self.size + bisect_right(self.falling, total // -deadline), self.none
+        while low < high:
+            if low & 1:
+                best = min(best, self.least[low])
+                low += 1
+            if high & 1:
+                high -= 1
+                best = min(best, self.least[high])
+            low, high = low >> 1, high >> 1
+        s = self.names[best]
+        return deadline, str(s), 1, s
+
+
+def _earliest_deadlines(parts: dict, left: dict, total: int, fresh: _Waiting) -> list[tuple]:
+    """``(source, k, release, deadline)`` by slot, until the first source has run all its blocks.
+
+    ``fresh`` has all sources of ``left`` when it begins, and those that did not run when it ends.
+    """
+    waiting: list = []
     ready: list = []
     out: list[tuple] = []
+    begin = fresh.first(total)
     while True:
         while waiting and waiting[0][0] <= len(out):
             heapq.heappush(ready, heapq.heappop(waiting)[1])
-        deadline, _, k, s = heapq.heappop(ready)
+        if begin and (not ready or begin < ready[0]):
+            deadline, _, k, s = begin
+            fresh.remove(s)
+            begin = fresh.first(total)
+        else:
+            deadline, _, k, s = heapq.heappop(ready)
         out.append((s, k, (k - 1) * total // parts[s], deadline))
         if k == left[s]:
             return out
-        heapq.heappush(waiting, (k * total // parts[s], block(s, k + 1)))
+        heapq.heappush(waiting, (k * total // parts[s], (-(-(k + 1) * total // parts[s]), str(s), k + 1, s)))
 
 
 def ranked(docs: DataFrame, id_col: str, counts: dict) -> DataFrame:
@@ -91,10 +157,11 @@ def ranked(docs: DataFrame, id_col: str, counts: dict) -> DataFrame:
     counts give each slice its offset, so that no task holds a whole source.
     """
     spark = docs.sparkSession
-    cuts = spark.createDataFrame([(s, min(SLICES, max(1, -(-n // SLICE)))) for s, n in counts.items()], "_source string, _slices int")
+    slices = pa.array([min(SLICES, max(1, -(-n // SLICE))) for n in counts.values()], pa.int32())
+    cuts = spark.createDataFrame(pa.table({"_source": pa.array(counts, pa.string()), "_slices": slices}))
     # the top bits order the slices and the whole hash orders the rows in them
     h = F.xxhash64(F.col(id_col).cast("long"))
-    spread = docs.withColumn("_h", h).join(F.broadcast(cuts), "_source")
+    spread = docs.withColumn("_h", h).join(F.broadcast(cuts) if len(counts) <= MAX_SOURCES else cuts, "_source")
     spread = spread.withColumn("_slice", F.floor((F.shiftrightunsigned("_h", 33).cast("double") / F.lit(float(1 << 31))) * F.col("_slices")).cast("int"))
     sizes = spread.groupBy("_source", "_slice").agg(F.count("*").alias("_n"))
     offsets = sizes.withColumn("_offset", F.sum("_n").over(Window.partitionBy("_source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
@@ -131,21 +198,16 @@ def mix_sources(
         given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "s string, w double")
         sizes, weight = sizes.join(given, "s", "left"), F.col("w")
     sizes = durable(sizes.withColumn("weight", weight))
-    whole = sizes.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("weight").alias("w"), F.count_if(F.coalesce(F.col("weight") > 0, F.lit(False))).alias("good")).first()
+    whole = sizes.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.count_if(F.coalesce(F.col("weight") > 0, F.lit(False))).alias("good")).first()
     if whole["good"] < whole["k"]:
         raise ValueError("weights must be positive, and name every source")
-    top = sizes.orderBy(F.desc("n"), "s").limit(MAX_SOURCES if whole["k"] <= MAX_SOURCES else MAX_SOURCES - 1).collect()
-    counts, targets = {r["s"]: r["n"] for r in top}, {r["s"]: r["weight"] if weights is None else weights[r["s"]] for r in top}
-    place = source
-    if whole["k"] > len(top):
-        counts[REST], targets[REST] = whole["n"] - sum(counts.values()), whole["w"] - sum(targets.values())
-        named = spark.createDataFrame([(r["s"],) for r in top], "_named string")
-        docs = docs.join(F.broadcast(named), source == F.col("_named"), "left")
-        place = F.coalesce("_named", F.lit(REST))
+    every = sizes.select("s", "n", "weight").toArrow()
+    counts = dict(zip(every["s"].to_pylist(), every["n"].to_pylist()))
+    targets = dict(zip(counts, every["weight"].to_pylist())) if weights is None else weights
     block = block or max(BLOCK, -(-(whole["n"] or 0) // BLOCKS))
     columns: dict[str, list] = {k: [] for k in ("_source", "mix_block", "mix_slot", "mix_release", "mix_deadline", "_first")}
     missing = 0
-    for ph in phases({s: -(-n // block) for s, n in counts.items()}, targets):
+    for ph in _phases({s: -(-n // block) for s, n in counts.items()}, targets):
         start = ph["slot"]
         for at, (s, k, release, deadline) in enumerate(ph["plan"], start):
             for c, v in zip(columns.values(), (s, ph["before"][s] + k - 1, at, start + release, start + deadline, at * block - missing)):
@@ -154,7 +216,7 @@ def mix_sources(
         missing += -counts[s] % block
     kinds = pa.schema([("_source", pa.string()), *[(c, pa.int64()) for c in list(columns)[1:]]])
     blocks = spark.createDataFrame(pa.table(columns, schema=kinds))
-    out = ranked(docs.withColumn("_source", place), "_id", counts).withColumn("mix_block", F.floor(F.col("_rank") / block))
+    out = ranked(docs.withColumn("_source", source), "_id", counts).withColumn("mix_block", F.floor(F.col("_rank") / block))
     return out.join(blocks, ["_source", "mix_block"]).select(
         "row.*", source.alias("mix_source"), "mix_block", "mix_slot", "mix_release", "mix_deadline",
         (F.col("_first") + F.col("_rank") % block).alias("mix_position"),
