@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 from collections import Counter
 from fractions import Fraction
@@ -254,6 +255,49 @@ def test_line_classes_equal_brute_force(spark, empty, monkeypatch, small):
     assert line_dedup.line_classes(empty).count() == 0
 
 
+def test_bits_rule_out_most_pairs_and_no_link(spark):
+    r = random.Random(4)
+    lines = []
+    for k in range(40):
+        base = [r.choice("abcdefghij ") for _ in range(r.randrange(5, 700))]
+        for share in (0, 0.005, 0.01, 0.02, 0.03, 0.06):
+            lines.append(f"{k}" + "".join(r.choice("xyz") if r.random() < share else c for c in base))
+    frame = spark.createDataFrame(list(enumerate(lines)), "id long, line string").repartition(2)
+    texts = frame.mapInArrow(line_dedup._sized(5), line_dedup.SIZED)
+    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
+    assert {(x.id, x.n) for x in texts.select("id", "n").collect()} == {(i, len(x)) for i, x in enumerate(sets)}
+    every = [(a, b) for a in range(len(lines)) for b in range(a)]
+    alike = {(a, b) for a, b in every if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    left = {tuple(x) for x in line_dedup._hopeful(spark.createDataFrame(every, "a long, b long"), texts, 80).collect()}
+    assert alike <= left and len(left) < 0.1 * len(every)
+
+
+def test_packed_keys_come_back_whole():
+    r = np.random.default_rng(2)
+    keys, ids = r.integers(0, 1 << 48, 5000), r.integers(-(1 << 63), (1 << 63) - 1, 5000)
+    keys[:4], keys[4:9] = [0, 1, (1 << 38) - 1, 1 << 38], (1 << 48) - 1
+    packs = [line_dedup._packed(keys[:3000], ids[:3000]), line_dedup._packed(keys[3000:], ids[3000:])]
+    got = [x for b in line_dedup._unpacked(iter(packs)) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(got) == sorted(zip(ids.tolist(), keys.tolist())) and all(len(set(p.column(0).to_pylist())) == p.num_rows for p in packs)
+
+
+def test_scratch_leaves_no_shuffles(spark, tmp_path):
+    from tianguis.operators.components import CLEANUP, Scratch
+
+    def shuffled():
+        at = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum("shuffle_" in at.apply(i).getName() for i in range(at.size()))
+
+    scratch, before = Scratch(spark), shuffled()
+    rows = scratch.keep(spark.range(1000).repartition(3, "id"))
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and rows.count() == 1000 and spark.conf.get(CLEANUP) == "false"
+    scratch.drop()
+
+
 def test_lines_of_repeated_and_null_ids(spark):
     line = prose(20, 1)
     rows = [(None, line), (1, line), (1, line + "!"), (1, prose(20, 2)), (2, prose(20, 2)), (2, prose(20, 2)), (None, None)]
