@@ -281,6 +281,33 @@ def test_packed_keys_come_back_whole():
     assert sorted(got) == sorted(zip(ids.tolist(), keys.tolist())) and all(len(set(p.column(0).to_pylist())) == p.num_rows for p in packs)
 
 
+def _buckets(lines):
+    given, found = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(lines)], names=["id", "line"]), {}
+    for batch in line_dedup._unpacked(line_dedup._signed(5)(iter([given]))):
+        for i, key in zip(*(c.to_pylist() for c in batch.columns)):
+            found.setdefault(key, set()).add(i)
+    return found
+
+
+def test_unlike_lines_hardly_meet_and_alike_ones_do():
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    met = 0
+    for _ in range(150):
+        common = " ".join(word() for _ in range(17))  # about 0.2 of two lines' shingles
+        found = _buckets([common + " " + " ".join(word() for _ in range(33)) for _ in range(30)])
+        met += len({(a, b) for ids in found.values() for a in ids for b in ids if a < b})
+    assert met < 250  # of 65,250 pairs, 149; 24 bands of five coordinates let 450 meet
+    near = []
+    for _ in range(3000):
+        words = [word() for _ in range(40)]
+        other = [word() if k in (5, 20, 35) else w for k, w in enumerate(words)]
+        near += [" ".join(words), " ".join(other)]
+    share = [len(x & y) / len(x | y) for x, y in (({l[i : i + 5] for i in range(len(l) - 4)} for l in near[k : k + 2]) for k in range(0, len(near), 2))]
+    met = {(a, b) for ids in _buckets(near).values() for a in ids for b in ids if a < b}
+    assert min(share) >= 0.8 and sum((k, k + 1) in met for k in range(0, len(near), 2)) >= 2999
+
+
 def test_scratch_leaves_no_shuffles(spark, tmp_path):
     from tianguis.operators.components import CLEANUP, Scratch
 
