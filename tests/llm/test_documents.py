@@ -392,6 +392,21 @@ def test_line_classes_of_all_shingles_equal_brute_force(spark, monkeypatch, smal
     assert len({(got[i], want[i]) for i in want}) == len(set(got.values())) == len(set(want.values()))
 
 
+def test_line_stage_runs_no_python(spark, monkeypatch):
+    pairs = isolated_pairs(150)
+    lines = [x for p in pairs for x in p] + ["abc", "abd", "x" * 6000, "x" * 5000, "a\U0001f600b" * 3]
+    df = spark.createDataFrame(list(enumerate(lines)) + [(1000, lines[0])], "doc_id long, text string").repartition(3)
+    by_batches = {r.doc_id: (r.class_id, r.kept) for r in line_dedup.line_classes(df).collect()}
+
+    def refused(*given):
+        raise AssertionError("Python on the executors")
+
+    monkeypatch.setattr(type(df), "mapInArrow", refused)
+    native = {r.doc_id: (r.class_id, r.kept) for r in line_dedup.line_classes(df, native=True).collect()}
+    assert native == by_batches and not native[1000][1]
+    assert {r.doc_id for r in line_dedup.drop_repeated_lines(spark, df, "").collect()} == {i for i, (_, kept) in native.items() if kept}
+
+
 def test_line_stage(spark, docs, empty):
     out = line_dedup.drop_repeated_lines(spark, docs, "").collect()
     got = {r.doc_id: r for r in out}
