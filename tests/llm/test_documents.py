@@ -537,3 +537,25 @@ def test_ordinal_fit_shares_weights():
     grade = np.digitize(2 * x[:, 0] + r.logistic(size=3000), [-1, 0.5, 2])
     w, cuts = toxicity.fit_cumulative(x, grade, np.ones(3000))
     assert abs(w[0] - 2) < 0.3 and abs(w[1]) < 0.2 and np.allclose(cuts, [-1, 0.5, 2], atol=0.3)
+
+
+def test_signatures_go_when_the_buckets_are_known(spark):
+    """The native form leaves nothing but its buckets, a table a layout, in the folder of the later steps."""
+    from tianguis.operators.components import Scratch
+
+    rows = [(i, "\n".join(edited(prose(30, 300 + i % 20), i % 3, 10 * i + j) for j in range(2))) for i in range(60)]
+    lines, scratch = line_dedup._lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text"), Scratch(spark)
+    found = line_dedup._shared_natively(lines, line_dedup.WIDTH, scratch)
+    assert found.count() > 0 and scratch.count == line_dedup.LAYOUTS
+    assert all(spark.read.parquet(f"{scratch.path}/{k + 1}").columns == ["key", "id", "pivot"] for k in range(line_dedup.LAYOUTS))
+    scratch.drop()
+
+
+def test_lines_beyond_the_broadcast_are_found_by_bits(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LOOKED_UP", 50)
+    lines = spark.range(5000).select(F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"), "id")
+    wanted = lines.where("id % 7 = 0").select(line_dedup._key(F.col("line")).alias("id"))
+    likely = {r.line for r in line_dedup._likely(lines.select("line"), wanted, 715).collect()}
+    exact = {f"line {k}" for k in range(0, 5000, 7)}
+    assert exact <= likely and len(likely - exact) < 100
+    assert {r.line for r in line_dedup._texts(lines.union(lines), wanted).collect()} == exact
