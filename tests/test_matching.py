@@ -61,3 +61,26 @@ def test_a_small_index_goes_to_the_observations(spark, observations, targets, mo
     shown = sorted(far.columns)
     assert sorted(near.columns) == shown and near.count() > 8
     assert sorted(map(str, near.select(*shown).collect())) == sorted(map(str, far.select(*shown).collect()))
+
+
+def test_repeated_texts_are_worked_out_once(spark, targets, observations, tmp_path, monkeypatch):
+    """With few distinct products they are matched by themselves; rows get the same as one by one."""
+    from tianguis.operators import matching
+    from tianguis.operators.components import Scratch
+
+    given = [{}, {"seller": None, "province": "  la habana"}, {"title": None}, {"brand": "Ole", "quantity": 0.0}, {"quantity": float("nan"), "unit": "ml"}, {"currency": "$"}, {"currency": None, "price": None},
+             {"title": "Refresco cola 330 ml", "condition": "Nuevo", "availability": "AGOTADO"}, {"url": "https://www.a.cu/x?b=2&a=1#z"}, {"url": "https://www.a.cu/y/#z?q"}, {"title": "Ventilador"}, {"pack_count": 6}]
+    rows = observations([listing(12 * k + i, **g) for k in range(3) for i, g in enumerate(given)])
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows, wanted, scratch = spark.read.parquet(str(tmp_path / "rows")), prepare_targets(targets(OIL, COLA)), Scratch(spark)
+    once, few = matching.matched(wanted, rows, scratch)
+    every, _ = matching.matched(wanted, rows, scratch, prefilter=False)
+    monkeypatch.setattr(matching, "REPEATED", 0)
+    by_row, many = matching.matched(wanted, rows, scratch)
+    assert few and not many and set(once.columns) == set(by_row.columns)
+
+    def all_of(df):
+        return sorted(repr(r) for r in df.select(*sorted(by_row.columns)).collect())
+
+    assert all_of(once) == all_of(by_row) and every.count() == 2 * rows.count()
+    scratch.drop()

@@ -214,3 +214,16 @@ def test_breakdown_and_gap(spark):
 
 def test_supply_levels():
     assert MarketConfig().availability_low_max == 3
+
+
+def test_only_replicated_rows_are_told(spark, observations):
+    from tianguis.operators.components import Scratch
+
+    rows = [listing(0, url="https://a.cu/1"), listing(1, url="http://www.a.cu/1/"), listing(2, url="https://a.cu/2"), listing(3, url="https://a.cu/1")]
+    df, scratch = prepare_observations(observations(rows)).withColumns({"scope": F.lit("w"), "week": F.when(F.col("row_uid") == 3, "w")}), Scratch(spark)
+    got = {r.row_uid: r for r in dedup.replicated(df, ["scope", "week"], scratch).collect()}
+    whole = {r.row_uid: r for r in dedup.deduplicate(df, ["scope", "week"]).collect()}
+    assert set(got) == {0, 1} and got == {k: whole[k] for k in (0, 1)} and [whole[k].is_canonical for k in range(4)] == [True, False, True, True]
+    turned = df.withColumns({"scope": F.col("week"), "week": F.when(F.col("row_uid") != 3, "w")})
+    assert not dedup.replicated(turned.where("row_uid in (0, 3)"), ["scope", "week"], scratch).count()
+    scratch.drop()

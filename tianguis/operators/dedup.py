@@ -20,12 +20,17 @@ def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
 
 
-def strong_keys(seller: str = "seller_norm") -> Column:
-    """Up to four keys of a prepared row as ``(kind, parts)``; rows that share one are one listing."""
+def strong_keys(scope: list[str], seller: str = "seller_norm") -> Column:
+    """Up to four keys of a prepared row as ``(kind, hash, check)``; rows of a scope that share one are one listing.
+
+    A key is 96 bits of two hashes of the scope, the kind and its parts, so that no text is shuffled.
+    """
     s, price = F.col(seller), F.col("price")
 
     def key(kind, *parts):
-        return F.struct(F.lit(kind).alias("kind"), F.array(*[p.cast("string") for p in parts]).alias("parts"))
+        # hashes pass over nulls, which are therefore told besides
+        every = [x for p in (*[F.col(c) for c in scope], *parts) for x in (p.isNull(), p.cast("string"))]
+        return F.struct(F.lit(kind).alias("kind"), F.xxhash64(F.lit(kind), *every).alias("hash"), F.hash(F.lit(kind), *every).alias("check"))
 
     return F.array_compact(
         F.array(
@@ -37,39 +42,51 @@ def strong_keys(seller: str = "seller_norm") -> Column:
     )
 
 
-def deduplicate(rows: DataFrame, scope: list[str], scratch: Scratch | None = None) -> DataFrame:
+def deduplicate(rows: DataFrame, scope: list[str]) -> DataFrame:
     """``(*scope, row_uid, is_canonical, canonical_uid, canonical_id, duplicate_reasons)`` of prepared rows.
 
     Each scope (say target and period) is on its own, all in one pass. The latest capture of
-    a component stays, of equal ones the smallest ``row_uid``, which is unique in a scope. The
-    result reads a table in ``scratch`` where that is given, else it is cut from its steps.
+    a component stays, of equal ones the smallest ``row_uid``, which is unique in a scope.
     """
-    here = scratch or Scratch(rows.sparkSession)
-    slim = here.keep(
-        rows.select(*scope, "row_uid", "observation_id", "captured_at", strong_keys().alias("keys")).withColumn("node", F.monotonically_increasing_id())
+    here = Scratch(rows.sparkSession)
+    slim, found = _replicated(rows, scope, here)
+    found = found.select("node", *ADDED).withColumn("_found", F.lit(True))
+    alone = {"is_canonical": F.lit(True), "canonical_uid": F.col("row_uid"), "canonical_id": F.col("observation_id"), "duplicate_reasons": F.array().cast("array<string>")}
+    out = durable(slim.drop("keys").join(found, "node", "left").select(*scope, "row_uid", *[F.when(F.col("_found"), F.col(c)).otherwise(alone[c]).alias(c) for c in ADDED]))
+    here.drop()
+    return out
+
+
+def replicated(rows: DataFrame, scope: list[str], scratch: Scratch) -> DataFrame:
+    """As ``deduplicate``, of those rows only that share a key with another one; all others stay. It reads tables in ``scratch``."""
+    return _replicated(rows, scope, scratch)[1].drop("node")
+
+
+#: What deduplication tells of a row.
+ADDED = ["is_canonical", "canonical_uid", "canonical_id", "duplicate_reasons"]
+
+
+def _replicated(rows: DataFrame, scope: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    slim = scratch.keep(
+        rows.select(*scope, "row_uid", "observation_id", "captured_at", strong_keys(scope).alias("keys")).withColumn("node", F.monotonically_increasing_id())
     )
-    keyed = slim.select(*scope, "row_uid", "node", F.explode("keys").alias("key")).select("*", "key.kind", "key.parts").drop("key")
-    on = [*scope, "kind", "parts"]
+    keyed = slim.select("row_uid", "node", F.explode("keys").alias("key")).select("row_uid", "node", "key.*")
+    on = ["hash", "check", "kind"]
     first = keyed.groupBy(*on).agg(F.min("row_uid").alias("first_uid"), F.min_by("node", "row_uid").alias("first_node"), F.count("*").alias("n")).where("n > 1")
-    first = first.select(*[F.col(c).alias("f_" + c) for c in on], "first_uid", "first_node")
-    equal = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("f_" + c)) for c in on])
-    linked = durable(keyed.join(first, equal).where(F.col("row_uid") > F.col("first_uid")).select("node", "first_node", "kind"))
+    linked = durable(keyed.join(first, on).where(F.col("row_uid") > F.col("first_uid")).select("node", "first_node", "kind"))
     parts = connected_components(linked, "node", "first_node").withColumnRenamed("component", "part")
     why = linked.groupBy("node").agg(F.array_sort(F.collect_set(F.element_at(F.array(*[F.lit(r) for r in REASONS]), F.col("kind") + 1))).alias("why"))
-    full = slim.drop("keys").join(parts, "node", "left").join(why, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    full = scratch.keep(slim.drop("keys").join(parts.join(why, "node", "left"), "node"))
     order = F.struct(F.coalesce("captured_at", F.timestamp_seconds(F.lit(0))).alias("at"), (-F.col("row_uid")).alias("back"))
     kept = full.groupBy("part").agg(F.max_by(F.struct("row_uid", "observation_id", "why"), order).alias("kept"))
     none = F.array().cast("array<string>")
     reasons = F.array_sort(F.array_union(F.coalesce("why", none), F.coalesce("kept.why", none)))
     is_kept = F.col("row_uid") == F.col("kept.row_uid")
     out = full.join(kept, "part").select(
-        *scope, "row_uid", is_kept.alias("is_canonical"), F.col("kept.row_uid").alias("canonical_uid"), F.col("kept.observation_id").alias("canonical_id"),
+        "node", *scope, "row_uid", is_kept.alias("is_canonical"), F.col("kept.row_uid").alias("canonical_uid"), F.col("kept.observation_id").alias("canonical_id"),
         F.when(is_kept, none).when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit(BY_CHAIN))).alias("duplicate_reasons"),
     )
-    if scratch is None:
-        out = durable(out)
-        here.drop()
-    return out
+    return slim, out
 
 
 def weak_duplicates(unique: DataFrame, scope: list[str], columns: list[str] | None = None, id_col: str = "observation_id") -> DataFrame:

@@ -16,6 +16,7 @@ from tianguis.functions.text import (
     normalize_url,
 )
 from tianguis.functions.units import UNITS, build_presentation, known, observation_presentation, same_presentation, unit_price
+from tianguis.operators.components import Scratch
 from tianguis.schema import MATCH_LEVELS
 
 # Words that say nothing about which product it is.
@@ -38,25 +39,70 @@ def tokens(text: Column) -> Column:
     return F.transform(kept, stem)
 
 
-def prepare_observations(obs: DataFrame) -> DataFrame:
-    """Every normalised column that later steps read, worked out once a row."""
-    price = F.col("price")
+#: What of an observation decides how it matches, and its columns that are normalised each by itself; a null's normal form is null.
+PRODUCT = ["title", "brand", "condition", "quantity", "unit", "pack_count"]
+ALONE = {"currency": normalize_currency, "seller": normalize_seller, "province": normalize_location, "availability": normalize_availability}
+#: Distinct products, values of a column and pairs of product and target that are worked out once and broadcast, at most.
+REPEATED = 100_000
+
+
+def _products(obs: DataFrame) -> DataFrame:
     return (
         obs.withColumn("title_norm", normalize_text(F.col("title")))
         .withColumn("presentation", observation_presentation(F.col("quantity"), F.col("unit"), F.col("pack_count"), F.col("title")))
         .withColumn("tokens", F.array_union(tokens(F.col("title")), tokens(F.col("brand"))))
-        .withColumn("currency_norm", normalize_currency(F.col("currency")))
-        .withColumn("seller_norm", normalize_seller(F.col("seller")))
-        .withColumn("province_norm", normalize_location(F.col("province")))
-        .withColumn("availability_norm", normalize_availability(F.col("availability")))
         .withColumn("condition_norm", normalize_text(F.col("condition")))
-        .withColumn("url_norm", F.nullif(normalize_url(F.col("url")), F.lit("")))
-        .withColumn("price_valid", F.coalesce(price > 0, F.lit(False)))
-        .withColumn("unit_price", unit_price(price, F.col("presentation")))
+    )
+
+
+def _by_row(obs: DataFrame) -> DataFrame:
+    return (
+        obs.withColumn("url_norm", F.nullif(normalize_url(F.col("url")), F.lit("")))
+        .withColumn("price_valid", F.coalesce(F.col("price") > 0, F.lit(False)))
+        .withColumn("unit_price", unit_price(F.col("price"), F.col("presentation")))
         .withColumn("injected", looks_like_instructions(F.col("title"), F.col("description"), F.col("seller")))
     )
 
 
+def prepare_observations(obs: DataFrame) -> DataFrame:
+    """Every normalised column that later steps read, worked out once a row."""
+    return _by_row(_products(obs).withColumns({c + "_norm": norm(F.col(c)) for c, norm in ALONE.items()}))
+
+
+def matched(targets: DataFrame, obs: DataFrame, scratch: Scratch, prefilter: bool = True) -> tuple[DataFrame, bool]:
+    """Prepared targets matched with a table of observations, and whether texts were worked out once for all their rows.
+
+    Captures repeat their products, sellers and places. Where distinct ones are few they are
+    normalised and matched once, in ``scratch``, and joined to their rows by broadcast;
+    otherwise every row is by itself. The result is the same, without irrelevant pairs if ``prefilter``.
+    """
+
+    def judged(prepared):
+        out = match(pairs(targets, prepared, prefilter))
+        return relevant(out) if prefilter else out
+
+    product = F.xxhash64(*PRODUCT)
+    about = obs.agg(F.approx_count_distinct(product).alias("_product"), *[F.approx_count_distinct(c).alias(c) for c in ALONE]).first()
+    found = None
+    if about["_product"] <= REPEATED:
+        each = scratch.keep(obs.select(*PRODUCT).distinct().withColumn("row_uid", F.monotonically_increasing_id()))
+        found = scratch.keep(judged(_products(each)).drop("row_uid").withColumn("_product", product))
+    if found is None or found.count() > REPEATED:
+        return judged(prepare_observations(obs)), False
+    out = obs
+    for c, norm in ALONE.items():
+        if about[c] <= REPEATED:
+            known_ = scratch.keep(obs.select(F.col(c).alias("_own")).where(F.col("_own").isNotNull()).distinct().withColumn(c + "_norm", norm(F.col("_own"))))
+            out = out.join(F.broadcast(known_), F.col(c) == F.col("_own"), "left").drop("_own")
+        else:
+            out = out.withColumn(c + "_norm", norm(F.col(c)))
+    found = found.withColumnsRenamed({c: "_p_" + c for c in PRODUCT})
+    same = product == F.col("_product")
+    for c in PRODUCT:
+        same = same & F.col(c).eqNullSafe(F.col("_p_" + c))
+    return _by_row(out.join(F.broadcast(found), same).drop("_product", *["_p_" + c for c in PRODUCT])), True
+
+
 def prepare_targets(targets: DataFrame) -> DataFrame:
     """A target's size comes from its fields alone, never from its name."""
     parts = F.concat(F.array("name", "model", "variant"), F.coalesce("keywords", F.array().cast("array<string>")))

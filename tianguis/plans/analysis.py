@@ -17,7 +17,7 @@ from tianguis.functions.numbers import rounded, short_number
 from tianguis.functions.units import known
 from tianguis.operators import dedup, rates, signals, stats, temporal
 from tianguis.operators.components import Scratch, durable
-from tianguis.operators.matching import RANK, match, pairs, prepare_observations, prepare_targets, relevant
+from tianguis.operators.matching import RANK, matched, prepare_targets
 
 ENGINE = "1.0.0"
 T = ["target_id"]
@@ -64,31 +64,41 @@ READ = (
     "target_id row_uid observation_id source_id source_name title_norm seller_norm province_norm availability_norm price currency_norm price_valid unit_price presentation "
     "presentation_status match_rank match_level injected captured_at published_at usable in_window time_reason period"
 ).split()
+# What strong keys read besides.
+KEYED = ["url_norm", "listing_id", "image_id"]
+#: Replicated rows that are broadcast, at most.
+REPLICATED = 200_000
 
 
 def records(targets: DataFrame, obs: DataFrame, cfg: MarketConfig, start: Column, end: Column, now: Column, prefilter: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every pair of target and capture with its state; these without what only the trace shows; the weak duplicate groups of the window.
 
-    Pairs are written once as a compressed table, whole, and never shuffled whole: states are
-    worked out on the columns in READ and joined to the others where a reader asks for them.
+    Captures are written once as a compressed table. States are worked out on the columns in
+    READ and joined to the others where a reader asks for them; where texts had to be
+    worked out row by row, pairs are written whole in place of the captures.
     """
-    matched = match(pairs(prepare_targets(targets), prepare_observations(obs), prefilter))
-    matched = relevant(matched) if prefilter else matched
+    held, steps, given = (Scratch(obs.sparkSession) for _ in range(3))
+    found, few = matched(prepare_targets(targets), given.keep(obs), held, prefilter)
     at, late = F.col("captured_at"), F.col("captured_at") > now + F.make_dt_interval(mins=F.lit(cfg.clock_tolerance_minutes))
-    held, steps = Scratch(obs.sparkSession), Scratch(obs.sparkSession)
-    placed = held.keep(
-        matched.withColumns(
-            {
-                "usable": at.isNotNull() & ~late,
-                "in_window": F.coalesce(at.isNotNull() & ~late & at.between(start, end), F.lit(False)),
-                "time_reason": F.when(at.isNull(), "sin timestamp de captura").when(late, "timestamp de captura en el futuro"),
-                "period": F.when(at.isNotNull() & ~late & (at <= end), temporal.period_start(at, cfg.granularity)),
-            }
-        )
+    outside = (F.size("t_provinces") > 0) & ~F.coalesce(F.array_contains("t_provinces", F.col("province_norm")), F.lit(False))
+    measured = known(F.col("presentation")) & (~known(F.col("t_presentation")) | (F.col("presentation.dimension") == F.col("t_presentation.dimension")))
+    found = found.withColumns(
+        {
+            "usable": at.isNotNull() & ~late,
+            "in_window": F.coalesce(at.isNotNull() & ~late & at.between(start, end), F.lit(False)),
+            "time_reason": F.when(at.isNull(), "sin timestamp de captura").when(late, "timestamp de captura en el futuro"),
+            "period": F.when(at.isNotNull() & ~late & (at <= end), temporal.period_start(at, cfg.granularity)),
+            "_outside": outside, "_measured": measured,
+        }
     )
+    if few:
+        placed = held.keep(found.select(*READ, *KEYED, "_outside", "_measured"))
+    else:
+        found = placed = held.keep(found)
+        given.drop()
     # the window and every period are scopes of their own, all in one pass
     scopes = placed.select("*", F.explode(F.array_compact(F.array(F.when(F.col("in_window"), F.lit("window")), F.date_format("period", "yyyy-MM-dd")))).alias("scope"))
-    unique = dedup.deduplicate(scopes, ["target_id", "scope"], steps)
+    unique = dedup.replicated(scopes, ["target_id", "scope"], steps)
     inside = F.col("scope") == "window"
 
     def of_window(column: str) -> Column:
@@ -98,10 +108,12 @@ def records(targets: DataFrame, obs: DataFrame, cfg: MarketConfig, start: Column
         of_window("is_canonical").alias("in_unique"), of_window("canonical_id").alias("duplicate_of"), of_window("duplicate_reasons").alias("duplicate_reasons"),
         F.first(F.when(~inside, F.col("is_canonical")), ignorenulls=True).alias("period_unique"),
     )
-    outside = (F.size("t_provinces") > 0) & ~F.coalesce(F.array_contains("t_provinces", F.col("province_norm")), F.lit(False))
-    measured = known(F.col("presentation")) & (~known(F.col("t_presentation")) | (F.col("presentation.dimension") == F.col("t_presentation.dimension")))
-    r = steps.keep(placed.select(*READ, outside.alias("_outside"), measured.alias("_measured")).join(unique, ["target_id", "row_uid"], "left"))
-    r = r.withColumns({"in_unique": F.coalesce("in_unique", F.lit(False)), "period_unique": F.coalesce("period_unique", F.lit(False))})
+    unique = steps.keep(unique)
+    if unique.count() <= REPLICATED:
+        unique = F.broadcast(unique)
+    r = placed.select(*READ, "_outside", "_measured").join(unique, ["target_id", "row_uid"], "left")
+    # a row that is not replicated in a scope stays in it
+    r = steps.keep(r.withColumns({"in_unique": F.coalesce("in_unique", "in_window"), "period_unique": F.coalesce("period_unique", F.col("period").isNotNull())}))
     first = F.col("in_unique")
     weak = F.col("match_rank") < RANK["MEDIUM"]
     outside = F.col("_outside")
@@ -133,7 +145,7 @@ def records(targets: DataFrame, obs: DataFrame, cfg: MarketConfig, start: Column
     r = r.withColumns({"used_in_price_stats": F.col("in_price_stats") & F.col("outlier").isNull(), "used_in_unit_price_stats": F.col("in_unit_price_stats") & F.col("unit_outlier").isNull()})
     r = held.keep(r)
     steps.drop()
-    whole = placed.drop(*[c for c in READ if c not in ("target_id", "row_uid")]).join(r, ["target_id", "row_uid"])
+    whole = found.drop("_outside", "_measured", *[c for c in READ if c not in ("target_id", "row_uid")]).join(r, ["target_id", "row_uid"])
     return whole, r, dedup.weak_duplicates(r.where("in_unique"), T)
 
 
